@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read back; dropped when the session's driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/lexforge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the session may be gone by then
+        pass
+
+
 def width(spark: SparkSession, per_core: int = 4) -> int:
     """Partitions for work that is heavy per row: a few for each core."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)
@@ -64,3 +83,20 @@ def blank(c: Column) -> Column:
 
 def first_of(items: Iterable, default=None):
     return next(iter(items), default)
+
+
+#: At most so many keys count as hot: those with at least 1/HEAVY of all rows.
+HEAVY = 1000
+
+
+def join_hot(rows: DataFrame, stats: DataFrame, key: str, size: str, total: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``stats`` (one row per key) joined on ``key``.
+
+    Keys whose ``size`` is at least 1/HEAVY of ``total`` (one row, column total_rows) number at most HEAVY, so they are
+    broadcast and their rows stay where they are; the others are joined by hash, where no key holds more than that share.
+    """
+    flagged = stats.join(F.broadcast(total.select("total_rows"))).withColumn("_hot", F.col(size) * HEAVY >= F.col("total_rows")).drop("total_rows")
+    hot = F.broadcast(flagged.where("_hot").drop("_hot"))
+    hot_keys = F.broadcast(flagged.where("_hot").select(key))
+    light = flagged.where("not _hot").drop("_hot").hint("shuffle_hash")
+    return rows.join(hot, key).unionByName(rows.join(hot_keys, key, "left_anti").join(light, key, how), allowMissingColumns=True)

@@ -10,18 +10,42 @@ from pyspark.sql import functions as F
 from .common import table
 
 
-def _tokens(spark: SparkSession, d: str, keep: tuple[str, ...]) -> DataFrame:
+def _tokens(spark: SparkSession, d: str, keep: tuple[str, ...], seed: int = 1) -> DataFrame:
     from .words_common import valid_words
 
-    w = valid_words(table(spark, d, "words"), keep=keep)
-    return w.withColumnRenamed("container", "record") if "container" in keep else w
+    return valid_words(table(spark, d, "words"), keep=keep, seed=seed)
+
+
+def _names(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    from .words_common import record_names
+
+    return record_names(table(spark, d, "words"))
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    from .canonical import map_rows
+
+    return map_rows(table(spark, d, "typed_words"), table(spark, d, "dictionary"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary entry meant by each typed word that is not one itself, 0 for none."""
+    words = F.broadcast(table(spark, d, "dictionary").select(F.col("word").alias("value")))
+    return _mapped(spark, d).join(words, "value", "left_anti").select(F.col("id").alias("typed_id"), F.col("key").alias("term_id"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed values that mean no entry."""
+    from .canonical import unmatched
+
+    return unmatched(_mapped(spark, d)).withColumnsRenamed({"value": "element"})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Rare and common elements."""
     from .term_frequency import term_frequencies
 
-    t = term_frequencies(_tokens(spark, d, ("container", "value")), max_n=1)
+    t = term_frequencies(_tokens(spark, d, ("record", "value"), _names(spark, d)[1]), max_n=1)
     return t.where("mark is not null").select(F.col("term").alias("element"), "mark")
 
 
@@ -29,7 +53,7 @@ def p2_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and containers of every element."""
     from .term_frequency import term_frequencies
 
-    t = term_frequencies(_tokens(spark, d, ("container", "value")), max_n=1)
+    t = term_frequencies(_tokens(spark, d, ("record", "value"), _names(spark, d)[1]), max_n=1)
     return t.select(F.col("term").alias("element"), "occurrences", "total", F.col("records").alias("containers"), "mark")
 
 
@@ -37,7 +61,7 @@ def p2_ngrams(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences and containers of every run of one to three elements that occurs at least twice."""
     from .term_frequency import term_frequencies
 
-    t = term_frequencies(_tokens(spark, d, ("container", "value", "position")), max_n=3)
+    t = term_frequencies(_tokens(spark, d, ("record", "value", "position"), _names(spark, d)[1]), max_n=3)
     return t.where("occurrences >= 2").select("n", "term", "occurrences", F.col("records").alias("containers"))
 
 
@@ -59,16 +83,51 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The most characteristic element of each container with 24 or more rows, by tf-idf."""
     from .distinctive import term_scores, top_terms
 
-    t = top_terms(term_scores(_tokens(spark, d, ("container",))), "tfidf", 24)
-    return t.select(F.col("record").alias("container"), F.col("term").alias("element"))
+    names, seed = _names(spark, d)
+    t = top_terms(term_scores(_tokens(spark, d, ("record",), seed), names), "tfidf", 24)
+    return t.select(F.col("name").alias("container"), F.col("term").alias("element"))
 
 
 def p4_residuals(spark: SparkSession, d: str) -> DataFrame:
     """Each element of each container with its residuals."""
     from .distinctive import term_scores
 
-    t = term_scores(_tokens(spark, d, ("container",)))
-    return t.select(F.col("record").alias("container"), F.col("term").alias("element"), "tf", "df", F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"), F.round("adjusted", 6).alias("adjusted"))
+    names, seed = _names(spark, d)
+    t = term_scores(_tokens(spark, d, ("record",), seed), names)
+    return t.select(F.col("name").alias("container"), F.col("term").alias("element"), "tf", "df", F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"), F.round("adjusted", 6).alias("adjusted"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share a run of 12 words with an evaluation item."""
+    from .leak import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).where("longest_run >= 12").select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """All leaks, edited copies too, with scores."""
+    from .leak import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them."""
+    return p8_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("longest_run").alias("longest_run"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of the mixture with their number of copies."""
+    from .mixture import mixture
+
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    from .mixture import mixture
+
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
