@@ -97,6 +97,39 @@ def p4_residuals(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("name").alias("container"), F.col("term").alias("element"), "tf", "df", F.round("expected", 6).alias("expected"), F.round("residual", 6).alias("residual"), F.round("adjusted", 6).alias("adjusted"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Members of clusters of three or more documents."""
+    from .clusters import density_peaks
+
+    return density_peaks(table(spark, d, "lsi")).where("size >= 3").select(F.col("id").alias("doc_id"), "first_id")
+
+
+def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of three or more with size, typical members and their elements."""
+    from .clusters import density_peaks, describe
+
+    names, seed = _names(spark, d)
+    docs = table(spark, d, "docs").select("doc_id", F.lower(F.trim("doc")).alias("name")).distinct()
+    tf = _tokens(spark, d, ("record",), seed).where("record is not null").groupBy("record", "element").agg(F.count("*").alias("tf"))
+    return describe(density_peaks(table(spark, d, "lsi")), docs.join(names, "name").select("doc_id", F.col("record").alias("name")), tf.withColumnRenamed("record", "name"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of each document that has five others with cosine of 0.8 or more and its five nearest."""
+    from .vector_index import similar_vectors
+
+    near = similar_vectors(table(spark, d, "lsi"), k=5, min_cos=0.8)
+    full = near.where("rank = 5").select("id")
+    return near.join(full, "id", "left_semi").select(F.least("id", "other").alias("doc_id_a"), F.greatest("id", "other").alias("doc_id_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar documents of every document."""
+    from .vector_index import similar_vectors
+
+    return similar_vectors(table(spark, d, "lsi"), k=5).select(F.col("id").alias("doc_id"), F.col("other").alias("neighbour"), F.round("cos", 6).alias("cos"), "rank")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a run of 12 words with an evaluation item."""
     from .leak import leaked_items
