@@ -130,6 +130,27 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return similar_vectors(table(spark, d, "lsi"), k=5).select(F.col("id").alias("doc_id"), F.col("other").alias("neighbour"), F.round("cos", 6).alias("cos"), "rank")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files that do not parse."""
+    from .syntax import check_syntax
+
+    return check_syntax(table(spark, d, "sources")).where("cost > 0").select("source_id")
+
+
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """Repair cost and cause of each invalid file."""
+    from .syntax import check_syntax
+
+    return check_syntax(table(spark, d, "sources")).where("cost > 0").select("source_id", "language", "cost", "tokens", "cause", "first_edit")
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of invalid files per repository and language."""
+    from .syntax import check_syntax, syntax_rates
+
+    return syntax_rates(check_syntax(table(spark, d, "sources")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share a run of 12 words with an evaluation item."""
     from .leak import leaked_items
