@@ -143,12 +143,15 @@ def map_values(values: DataFrame, reference: DataFrame, value_col: str = "elemen
     """
     distinct = pick(values, value=value_col).where(~blank(F.col("value"))).distinct()
     entries = pick(reference, key=key_col, entry=word_col, freq=freq_col).where(~blank(F.col("entry")))
-    entry_tokens = entries.select("key", "freq", F.explode(F.split(F.lower(F.trim("entry")), r"[\s_-]+")).alias("word")).distinct()
+    parts = F.split(F.lower(F.trim("entry")), r"[\s_-]+")
+    # an entry of several tokens is also read as one word
+    spelled = F.when(F.size(parts) > 1, F.array(parts, F.array(F.array_join(parts, "")))).otherwise(F.array(parts))
+    entry_tokens = entries.select("key", "freq", F.posexplode(spelled).alias("form", "words")).select("key", "freq", "form", F.explode("words").alias("word")).distinct()
     n_entries = entries.agg(F.count("*").alias("n_entries"))
     idf = entry_tokens.groupBy("word").agg(F.countDistinct("key").alias("df")).join(F.broadcast(n_entries)).select("word", (1 + F.log(F.col("n_entries") / F.col("df"))).alias("idf"))
     weighted = entry_tokens.join(idf, "word")
-    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    weighted = weighted.join(norms, "key").select("key", "freq", "word", "idf", (F.col("idf") / F.col("norm")).alias("v"))
+    norms = weighted.groupBy("key", "form").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    weighted = weighted.join(norms, ["key", "form"]).select("key", "form", "freq", "word", "idf", (F.col("idf") / F.col("norm")).alias("v"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,8 +166,8 @@ def map_values(values: DataFrame, reference: DataFrame, value_col: str = "elemen
     typed = readings.join(token_idf, "token", "left").join(F.broadcast(n_entries)).withColumn("idf", F.coalesce("idf", top_idf))
     length = typed.groupBy("value", "reading").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
     typed = typed.join(length, ["value", "reading"]).select("value", "reading", "weight", "token", (F.col("idf") / F.col("norm")).alias("v_typed"))
-    pair = typed.join(close, "token").join(weighted, "word").groupBy("value", "reading", "key", "token").agg(F.max(F.col("weight") * F.col("v_typed") * F.col("v") * F.col("sim")).alias("s"), F.max("freq").alias("freq"))
-    score = pair.groupBy("value", "reading", "key").agg(F.sum("s").alias("score"), F.max("freq").alias("freq"))
+    pair = typed.join(close, "token").join(weighted, "word").groupBy("value", "reading", "key", "form", "token").agg(F.max(F.col("weight") * F.col("v_typed") * F.col("v") * F.col("sim")).alias("s"), F.max("freq").alias("freq"))
+    score = pair.groupBy("value", "reading", "key", "form").agg(F.sum("s").alias("score"), F.max("freq").alias("freq"))
     best = score.where(F.col("score") >= ACCEPT).groupBy("value").agg(F.max(F.struct(F.round("score", 9).alias("score"), "freq", (-F.col("key")).alias("minus"))).alias("b"))
     return distinct.join(best, "value", "left").select("value", (-F.col("b.minus")).alias("key"), F.col("b.score").alias("score"))
 

@@ -1,8 +1,8 @@
 """Problem 8: evaluation texts leaking into training text.
 
 Seeds are word n-grams of the test items. For every window of ``window`` words of an
-item the n-gram that fewest texts hold is a seed, so no shared run of that many words
-can be without one, and grams that stand everywhere (openings, boilerplate) seed
+item the n-gram that fewest texts hold (but some do) is a seed, so no shared run of that
+many words can be without one, and grams that stand everywhere (openings, boilerplate) seed
 nothing unless they must. Texts that hold a seed are aligned with the seed's items by
 Smith-Waterman over words, in the neighbourhood of the seeds; the score finds edited
 copies, the longest diagonal run exact ones.
@@ -111,10 +111,9 @@ def _one_block(docs: DataFrame, items: list[tuple], fields, n: int, window: int,
         ids = [number[" ".join(w[i : i + n])] for i in range(len(w) - n + 1)]
         span = max(1, min(window, len(w)) - n + 1) if len(w) >= window else 1
         for i in range(len(ids) - span + 1):
-            best = min(ids[i : i + span], key=lambda g: (df.get(g, 0), g))
-            if df.get(best):
-                seeds.setdefault(grams[best], set()).add(k)
-    # a gram stands in other items too; it must seed these where their own windows chose another
+            held = [g for g in ids[i : i + span] if df.get(g)]
+            if held:
+                seeds.setdefault(grams[min(held, key=lambda g: (df[g], g))], set()).add(k)
     sown = sc.broadcast({g: sorted(v) for g, v in seeds.items()})
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

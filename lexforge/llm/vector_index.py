@@ -137,7 +137,7 @@ class Graph:
 class Index:
     """An index over (id, v); ``classes`` has one row for each different vector: id (the smallest), v, copies, homes, probes."""
 
-    def __init__(self, vectors: DataFrame, lists: int = 12, ratio: float = 0.25, replicas: int = 4, replica_ratio: float = 0.1) -> None:
+    def __init__(self, vectors: DataFrame, lists: int = 20, ratio: float = 0.3, replicas: int = 4, replica_ratio: float = 0.1) -> None:
         self.spark = vectors.sparkSession
         self.key = type_of(vectors, "id")
         self.members = keep(vectors)
