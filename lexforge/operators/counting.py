@@ -19,7 +19,7 @@ def fold_roots(stats: DataFrame) -> DataFrame:
 
     The chain of earlier singulars has at most three links in English; a word is an entry if it has none or an even number of them.
     """
-    s = stats.withColumn("single", singular_of(F.col("word")))
+    s = stats.withColumn("single", singular_of("word"))
     known = stats.select(F.col("word").alias("single"), F.col("first_pos").alias("single_pos"))
     link = s.join(known, "single", "left").select("word", "n", F.when((F.col("single") != F.col("word")) & (F.col("single_pos") < F.col("first_pos")), F.col("single")).alias("up"))
     step = link.where("up IS NOT NULL").select(F.col("word"), F.col("up"))

@@ -211,18 +211,17 @@ _DISTINCT = f"WITH {_TOK}, w AS (SELECT DISTINCT word FROM tok)"
 
 @query(f"{_DISTINCT} SELECT word, {inflect.sql('word', True)} AS result FROM w")
 def pluralize(spark, d):
-    return _words(spark, d).select("word").distinct().select("word", inflect.plural_of(F.col("word")).alias("result"))
+    return _words(spark, d).select("word").distinct().select("word", inflect.plural_of("word").alias("result"))
 
 
 @query(f"{_DISTINCT} SELECT word, {inflect.sql('word', False)} AS result FROM w")
 def singularize(spark, d):
-    return _words(spark, d).select("word").distinct().select("word", inflect.singular_of(F.col("word")).alias("result"))
+    return _words(spark, d).select("word").distinct().select("word", inflect.singular_of("word").alias("result"))
 
 
 @query(f"{_DISTINCT} SELECT word, {inflect.sql('word', False)} = word AS singular, {inflect.sql('word', True)} = word AS plural FROM w")
 def is_plural_singular(spark, d):
-    w = F.col("word")
-    return _words(spark, d).select("word").distinct().select("word", inflect.is_singular(w).alias("singular"), inflect.is_plural(w).alias("plural"))
+    return _words(spark, d).select("word").distinct().select("word", inflect.is_singular("word").alias("singular"), inflect.is_plural("word").alias("plural"))
 
 
 @query(f"{_DISTINCT} SELECT word FROM w WHERE word IN ({', '.join(repr(x) for x in inflect.UNCOUNTABLE)})")

@@ -66,7 +66,7 @@ def without_stop_words(df: DataFrame, stops: DataFrame, column: str = "word", pl
     """
     listed = stops.select(normal(F.col("word")).alias("_stop")).distinct()
     out = df.where(F.length(column) > 1).join(listed, normal(F.col(column)) == F.col("_stop"), "left_anti")
-    return out.join(listed, normal(plural_of(F.col(column))) == F.col("_stop"), "left_anti") if plural else out
+    return out.join(listed, normal(plural_of(column)) == F.col("_stop"), "left_anti") if plural else out
 
 
 def values_sql(lists: tuple[str, ...] = DEFAULT) -> str:
