@@ -19,6 +19,12 @@ def query_vector(keywords: DataFrame, terms: DataFrame) -> DataFrame:
     return hit.join(F.broadcast(m)).select("term", F.when(F.col("m") == 0, float("nan")).when(F.col("hit").isNotNull(), F.try_divide(F.lit(1.0), "m")).otherwise(0.0).alias("weight"))
 
 
+def fold_in(query: DataFrame, u: DataFrame, singular: DataFrame) -> DataFrame:
+    """(k, q): a query in the latent space, q^T U S^-1. ``query``: term, weight; ``u``: word, k, x; ``singular``: k, s; a singular value of 0 gives NaN."""
+    dot = query.join(u, query["term"] == u["word"]).groupBy("k").agg(F.sum(F.col("weight") * F.col("x")).alias("d"))
+    return dot.join(singular, "k").select("k", F.when(F.col("s") == 0, float("nan")).otherwise(F.try_divide("d", "s")).alias("q"))
+
+
 def _search(matrix: DataFrame, keys: DataFrame, match: str, item: str, cell: str, on_no_match: str) -> DataFrame:
     """Score of each item: sum over matched cells / (sqrt(m) * norm), one aggregate over the matrix."""
     k = keys.select(F.col(keys.columns[0]).alias(match), F.lit(1).alias("hit")).distinct()

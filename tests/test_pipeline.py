@@ -127,6 +127,14 @@ def test_search_goldens(spark):
     assert search.search_docs(m, key("zzz"), on_no_match="empty").count() == 0
 
 
+def test_fold_in(spark):
+    q = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "term string, weight double")
+    u = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 3.0), ("b", 1, 1.0)], "word string, k int, x double")
+    s = spark.createDataFrame([(0, 2.0), (1, 0.0)], "k int, s double")
+    got = {r["k"]: r["q"] for r in search.fold_in(q, u, s).collect()}
+    assert got[0] == 1.0 and math.isnan(got[1])
+
+
 def test_folding_equals_a_sequential_count(spark):
     r = random.Random(5)
     stream = [r.choice(["word", "words", "bus", "buses", "class", "classes", "this", "thi", "index", "indices"]) for _ in range(200)]
