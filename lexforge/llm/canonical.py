@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, join_hot, pick, width
+from .common import blank, join_hot, keep, pick, width
 
 #: Letters of other scripts that look like Latin ones, and digits typed for letters.
 LOOKALIKES = str.maketrans("асеіјорѕтухһкмнвԁԛԝαοε", "aceijopstyxhkmhbdqwaoe")
@@ -159,7 +159,7 @@ def map_values(values: DataFrame, reference: DataFrame, value_col: str = "elemen
             yield pd.DataFrame(rows, columns=["value", "reading", "weight", "token"])
 
     readings = distinct.repartition(width(values.sparkSession, 2)).mapInPandas(read, "value string, reading int, weight double, token string")
-    close = correct_tokens(readings.select("token").distinct(), entry_tokens.select("word").distinct())
+    close = keep(correct_tokens(readings.select("token").distinct(), entry_tokens.select("word").distinct()))
     top_idf = F.lit(1.0) + F.log(F.col("n_entries"))
     # a typed token weighs as the rarest word it may stand for; one that stands for none weighs as an unknown word
     token_idf = close.join(idf, "word").groupBy("token").agg(F.max("idf").alias("idf"))
@@ -182,7 +182,7 @@ def map_rows(rows: DataFrame, reference: DataFrame, id_col: str = "typed_id", va
     r = r.repartition(n, "id").groupBy("id").agg(F.max(F.struct("version", "value")).alias("r")).select("id", "r.value")
     sizes = r.groupBy("value").agg(F.count("*").alias("rows"))
     total = sizes.agg(F.sum("rows").alias("total_rows"))
-    mapped = map_values(sizes, reference, "value", key_col, word_col, freq_col).join(sizes, "value")
+    mapped = keep(map_values(sizes, reference, "value", key_col, word_col, freq_col).join(sizes, "value"))
     return join_hot(r, mapped, "value", "rows", total).select("id", "value", F.coalesce("key", F.lit(0)).alias("key"), "score")
 
 
