@@ -142,14 +142,15 @@ class Index:
         self.key = type_of(vectors, "id")
         self.members = keep(vectors)
         self.count = self.members.count()
-        self.classes_raw = self.members.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+        raw = self.members.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
         share = min(1.0, SAMPLE / max(1, self.count))
         picked = self.members.select("v").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(2 * SAMPLE).toPandas()["v"]
         self.graph = None
         if self.count:
             x = np.unique(matrix(picked), axis=0) if len(picked) else matrix(self.members.select("v").limit(1).toPandas()["v"])
             self.graph = self.spark.sparkContext.broadcast(Graph.build(balanced_leaves(x)))
-        self.classes = keep(self.route(self.classes_raw, lists, ratio, replicas, replica_ratio))
+        self.classes = keep(self.route(raw, lists, ratio, replicas, replica_ratio))
+        self.classes_raw = self.classes.select("id", "v", "copies")
 
     def route(self, rows: DataFrame, lists: int, ratio: float, replicas: int, replica_ratio: float) -> DataFrame:
         """``rows`` (id, v, copies, ...) with the lists they are stored in (homes) and those they search (probes)."""
