@@ -1,22 +1,25 @@
 """Problem 8: evaluation texts leaking into training text.
 
-Seeds are word n-grams of the test items. For every window of ``window`` words of an
-item the n-gram that fewest texts hold (but some do) is a seed, so no shared run of that
-many words can be without one, and grams that stand everywhere (openings, boilerplate) seed
-nothing unless they must. Texts that hold a seed are aligned with the seed's items by
-Smith-Waterman over words, in the neighbourhood of the seeds; the score finds edited
-copies, the longest diagonal run exact ones.
-
-The items are the stated query set: they go to the tasks in blocks of at most
+A text is aligned with an item by Smith-Waterman over words; the score finds edited copies,
+the longest diagonal run exact ones. Which pairs are aligned follows from bounds that no
+leaked pair can miss, so nothing is lost to seeds: a shared run of ``window`` words is
+looked up, and the score of an alignment is at most
+
+* MATCH times the words that text and item have in common, each as often as both hold it;
+* the greatest sum over a stretch of the text that counts MATCH for a word of the item and
+  the smaller loss of MISMATCH and GAP for any other.
+
+Words at which the second sum is 0 end every alignment, so only one of each stretch of them
+is kept. The items are the stated query set: they go to the tasks in blocks of at most
 BLOCK_WORDS words, each of which passes over all texts; texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import pick, schema, type_of, width
 
 BLOCK_WORDS = 2_000_000
+#: Items are bounded in groups of about so many words, table cells at a time, and aligned so many pairs at a time.
+GROUP_WORDS, CELLS, PAIRS = 50_000, 4_000_000, 256
 MATCH, MISMATCH, GAP = 2, -1, 1
 _WORD = re.compile("[a-z]+")
 
@@ -36,19 +41,36 @@ def words_of(text: str | None) -> list[str]:
 
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     """(Smith-Waterman score with linear gaps, longest common run) of two word-id sequences."""
-    m = len(item)
-    h, run, best, longest = np.zeros(m + 1, "i4"), np.zeros(m + 1, "i4"), 0, 0
-    slope = np.arange(m + 1, dtype="i4") * GAP
-    for w in doc:
-        eq = item == w
-        new = np.zeros(m + 1, "i4")
-        new[1:] = np.maximum(h[:-1] + np.where(eq, MATCH, MISMATCH), h[1:] - GAP)
-        np.maximum(new, 0, out=new)
-        new = np.maximum.accumulate(new + slope) - slope
-        h = new
-        run[1:] = np.where(eq, run[:-1] + 1, 0)
-        best, longest = max(best, int(h.max())), max(longest, int(run.max()))
-    return best, longest
+    return align_all([(doc, item)])[0]
+
+
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """:func:`align` of many (doc, item), PAIRS of like length at a time."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+    for lo in range(0, len(order), PAIRS):
+        at = order[lo : lo + PAIRS]
+        n, m = (max(len(pairs[i][side]) for i in at) for side in (0, 1))
+        # filled up with words that equal nothing
+        doc, item = np.full((n, len(at)), -1, "i4"), np.full((len(at), m), -2, "i4")
+        for row, i in enumerate(at):
+            doc[: len(pairs[i][0]), row], item[row, : len(pairs[i][1])] = pairs[i]
+        item[item == -1] = -2
+        h, run = np.zeros((len(at), m + 1), "i4"), np.zeros((len(at), m + 1), "i4")
+        best, longest = np.zeros_like(h), np.zeros_like(h)
+        slope = np.arange(m + 1, dtype="i4") * GAP
+        for w in doc:
+            eq = item == w[:, None]
+            new = np.zeros_like(h)
+            new[:, 1:] = np.maximum(h[:, :-1] + np.where(eq, MATCH, MISMATCH), h[:, 1:] - GAP)
+            np.maximum(new, 0, out=new)
+            h = np.maximum.accumulate(new + slope, axis=1) - slope
+            run[:, 1:] = np.where(eq, run[:, :-1] + 1, 0)
+            np.maximum(best, h, out=best)
+            np.maximum(longest, run, out=longest)
+        for i, s, r in zip(at, best.max(1), longest.max(1)):
+            out[i] = int(s), int(r)
+    return out
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -64,7 +86,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, score, share, longest_run): texts and the items they hold.
 
     ``share`` is the score over that of the whole item. A pair comes out if its longest common run has at least ``window`` words
-    or its share is at least ``min_share``. An item shorter than the window seeds with all its grams, one shorter than a gram never leaks;
+    or its share is at least ``min_share``; all such pairs do. An item shorter than ``seed_words`` never leaks;
     null and empty texts hold nothing. A repeated text row or a repeated item gives its pairs once.
     """
     key, item_key = type_of(docs, id_col), type_of(items, item_col)
@@ -79,77 +101,72 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out.distinct().withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+class _Group:
+    """Some items with the bounds of their alignments with a text."""
+
+    def __init__(self, items: list[np.ndarray], vocabulary: int, window: int, min_share: float) -> None:
+        self.items, self.window = items, window
+        held = np.unique(np.concatenate(items))
+        self.code = np.full(vocabulary + 1, len(held), "i4")
+        self.code[held] = np.arange(len(held))
+        # the last row stands for all other words
+        self.counts = np.zeros((len(held) + 1, len(items)), "i4")
+        self.runs: dict[bytes, set[int]] = {}
+        for k, w in enumerate(items):
+            np.add.at(self.counts[:, k], self.code[w], 1)
+            for i in range(len(w) - window + 1):
+                self.runs.setdefault(w[i : i + window].tobytes(), set()).add(k)
+        self.need = np.array([max(1, math.ceil(min_share * MATCH * len(w) - 1e-9)) for w in items])
+
+    def pairs(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, words of ``doc`` to align with it) of all items that may leak."""
+        code, other = self.code[doc], len(self.counts) - 1
+        n = np.bincount(code, minlength=other + 1)[:other]
+        u = np.flatnonzero(n)
+        may = MATCH * np.minimum(n[u, None], self.counts[u]).sum(0) >= self.need
+        # a shared run lies between two words of no item
+        exact: set[int] = set()
+        ends = np.flatnonzero(np.concatenate(([True], code == other, [True])))
+        for lo, hi in zip(ends[:-1], ends[1:] - 1):
+            for i in range(lo, hi - self.window + 1):
+                exact |= self.runs.get(doc[i : i + self.window].tobytes(), set())
+        may[list(exact)] = True
+        cols = np.flatnonzero(may)
+        step = max(1, CELLS // max(1, len(doc)))
+        for part in (cols[lo : lo + step] for lo in range(0, len(cols), step)):
+            c = np.cumsum(np.where(self.counts[code][:, part] > 0, MATCH, max(MISMATCH, -GAP)), axis=0)
+            sums = c - np.minimum(np.minimum.accumulate(c, axis=0), 0)
+            for k, s in zip(part, sums.T):
+                if k in exact or s.max() >= self.need[k]:
+                    keep = s > 0
+                    keep[1:] |= keep[:-1]
+                    yield int(k), doc[keep]
+
+
 def _one_block(docs: DataFrame, items: list[tuple], fields, n: int, window: int, min_share: float) -> DataFrame:
-    sc = docs.sparkSession.sparkContext
-    items = [(k, w) for k, w in items if len(w) >= n]
-    grams = sorted({" ".join(w[i : i + n]) for _, w in items for i in range(len(w) - n + 1)})
-    shared = sc.broadcast((items, grams))  # at most BLOCK_WORDS words
-
-    def automaton(patterns: dict[str, object]) -> ahocorasick.Automaton:
-        a = ahocorasick.Automaton()
-        for g, v in patterns.items():
-            a.add_word(f" {g} ", v)
-        a.make_automaton()
-        return a
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton({g: k for k, g in enumerate(shared.value[1])}) if shared.value[1] else None
-        df = np.zeros(len(shared.value[1]), "i8")
-        for pdf in batches:
-            for text in pdf["text"] if a else ():
-                hits = {v for _, v in a.iter(f" {' '.join(words_of(text))} ")}
-                if hits:
-                    df[list(hits)] += 1
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"gram": at, "df": df[at]})
-
-    texts = _texts(docs)
-    df = {r["gram"]: r["df"] for r in texts.select("text").mapInPandas(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()}  # at most one row for each gram of the block
-    number = {g: k for k, g in enumerate(grams)}
-    seeds: dict[str, set[int]] = {}
-    for k, (_, w) in enumerate(items):
-        ids = [number[" ".join(w[i : i + n])] for i in range(len(w) - n + 1)]
-        span = max(1, min(window, len(w)) - n + 1) if len(w) >= window else 1
-        for i in range(len(ids) - span + 1):
-            held = [g for g in ids[i : i + span] if df.get(g)]
-            if held:
-                seeds.setdefault(grams[min(held, key=lambda g: (df[g], g))], set()).add(k)
-    sown = sc.broadcast({g: sorted(v) for g, v in seeds.items()})
+    items = [(k, w) for k, w in items if len(w) >= max(1, n)]
+    number = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
+    shared = docs.sparkSession.sparkContext.broadcast((items, number))  # at most BLOCK_WORDS words
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sown.value
-        a = automaton({g: (g, v) for g, v in known.items()}) if known else None
+        items, number = shared.value
+        ids = [np.fromiter((number[w] for w in words), "i4", len(words)) for _, words in items]
+        cuts = np.cumsum([0] + [len(w) for w in ids])[:-1] // GROUP_WORDS
         for pdf in batches:
-            rows = []
-            for key, text in zip(pdf["id"], pdf["text"]) if a else ():
-                words = words_of(text)
-                line = f" {' '.join(words)} "
-                places: dict[int, list[int]] = {}
-                for end, (g, ks) in a.iter(line):
-                    for k in ks:
-                        places.setdefault(k, []).append(end - len(g) - 1)
-                if not places:
-                    continue
-                starts = np.cumsum([0] + [len(w) + 1 for w in words])
-                for k, chars in places.items():
-                    item = shared.value[0][k][1]
-                    code = {w: i for i, w in enumerate(dict.fromkeys(item))}
-                    ids = np.fromiter((code[w] for w in item), "i4", len(item))
-                    score = longest = 0
-                    near = 2 * len(item)
-                    regions: list[list[int]] = []
-                    for p in np.searchsorted(starts, sorted(chars)):
-                        if regions and p - near <= regions[-1][1]:
-                            regions[-1][1] = p + near
-                        else:
-                            regions.append([max(0, p - near), p + near])
-                    for lo, hi in regions:
-                        doc = np.fromiter((code.get(w, -1) for w in words[lo:hi]), "i4")
-                        s, r = align(doc, ids)
-                        score, longest = max(score, s), max(longest, r)
-                    share = score / (MATCH * len(item))
-                    if longest >= window or share >= min_share:
-                        rows.append((key, shared.value[0][k][0], score, share, longest))
-            yield pd.DataFrame(rows, columns=["id", "item", "score", "share", "longest_run"])
-
-    return texts.mapInPandas(search, fields)
+            texts = [(key, np.array([number.get(w, len(number)) for w in words_of(text)], "i4")) for key, text in zip(pdf["id"], pdf["text"])]
+            for g in np.unique(cuts):
+                at = np.flatnonzero(cuts == g)
+                group = _Group([ids[k] for k in at], len(number), window, min_share)
+                open_: list[tuple] = []
+                for last, (key, doc) in enumerate(texts, 1 - len(texts)):
+                    open_ += [(key, at[k], part) for k, part in group.pairs(doc)] if len(doc) else []
+                    if len(open_) >= 8 * PAIRS or (last == 0 and open_):
+                        rows = []
+                        for (who, k, _), (score, longest) in zip(open_, align_all([(part, ids[k]) for _, k, part in open_])):
+                            share = score / (MATCH * len(ids[k]))
+                            if longest >= window or share >= min_share:
+                                rows.append((who, items[k][0], score, share, longest))
+                        open_ = []
+                        yield pd.DataFrame(rows, columns=["id", "item", "score", "share", "longest_run"])
+
+    return _texts(docs).mapInPandas(search, fields)
