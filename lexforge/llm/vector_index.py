@@ -5,6 +5,9 @@ Centroids come from balanced hierarchical clustering of a bounded, documented sa
 lists a vector is near to; lists farther than (1 + ratio) times the nearest are pruned.
 Every vector is stored in its nearest list and, at boundaries, in several. Stored
 vectors and queries meet in cells (list, block, block) of bounded size.
+
+What this leaves open is searched exactly (:meth:`Index.reach`): every list that by the
+triangle inequality of angles can hold a vector as near as a query asks for.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import types as T
 from .common import join_hot, keep, pick, schema, type_of, width
 
 SAMPLE, LEAF, DEGREE, BLOCK = 40_000, 64, 16, 4096
+#: Rows of a cell in the exact search.
+WIDE_BLOCK = 16_384
 
 
 def clean_vectors(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", version_col: str = "built_at", dim: int = 64) -> DataFrame:
@@ -176,22 +181,23 @@ class Index:
                             if (cent[own] @ cent[ids[i, j]]).max() < sims[i, j]:
                                 own.append(int(ids[i, j]))
                         homes.append(own)
-                    part["homes"], part["probes"] = homes, probes
+                    part["homes"], part["probes"], part["home_cos"] = homes, probes, sims[:, 0]
                     yield part
 
         fields = rows.schema
         for name in ("homes", "probes"):
             fields = fields.add(name, T.ArrayType(T.IntegerType())) if name not in fields.names else fields
+        fields = fields.add("home_cos", "double") if "home_cos" not in fields.names else fields
         return rows.repartition(width(self.spark, 2)).mapInPandas(run, fields) if graph else self.spark.createDataFrame([], fields)
 
-    def meet(self, stored: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], fields) -> DataFrame:
+    def meet(self, stored: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], fields, block: int = BLOCK) -> DataFrame:
         """Apply ``work`` to the stored rows (column homes) and the queries (column probes) of every cell.
 
-        Lists and the queries of a list are cut into blocks of about BLOCK rows, so no cell grows with the data.
+        Lists and the queries of a list are cut into blocks of about ``block`` rows, so no cell grows with the data.
         """
         s = stored.withColumn("list", F.explode("homes")).drop("homes", "probes")
         q = queries.withColumn("list", F.explode("probes")).drop("homes", "probes")
-        blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+        blocks = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
         sizes = F.broadcast(blocks(s, "sb").join(blocks(q, "qb"), "list"))  # one row for each centroid
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         s = s.join(sizes, "list").withColumn("s", F.pmod(F.xxhash64("id"), F.col("sb"))).withColumn("q", each("qb")).drop("sb", "qb")
@@ -205,9 +211,68 @@ class Index:
         names = fields.names
         return as_int(s).groupBy(*cell).cogroup(as_int(q).groupBy(*cell)).applyInPandas(run, fields)
 
+    def reach(self, stored: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], pd.DataFrame], fields) -> DataFrame:
+        """Apply ``work`` to stored rows, queries and all their cosines that may reach the query's ``floor``.
+
+        ``stored`` has columns home and v, ``queries`` v, floor and skip (lists not to search). The third argument of ``work`` yields
+        (query places, stored places, cosines), list by list. A list is left out only if no vector as far from its centre as its farthest
+        one can reach the floor. Lists are joined to groups of about WIDE_BLOCK rows.
+        """
+        graph = self.graph
+        far = {r["home"]: (r["c"], r["n"]) for r in self.classes.groupBy(F.col("homes")[0].alias("home")).agg(F.min("home_cos").alias("c"), F.count("*").alias("n")).collect()}  # one row for each centroid
+        if not graph or not far:
+            return self.spark.createDataFrame([], fields)
+        n = len(graph.value.centroids)
+        radius, rows = np.full(n, -10.0), np.zeros(n)  # a list without rows reaches nothing
+        for home, (c, size) in far.items():
+            unit = abs(np.linalg.norm(graph.value.centroids[home]) - 1) < 1e-6
+            radius[home], rows[home] = np.arccos(np.clip(c, -1, 1)) if unit else np.pi, size
+        group = ((np.cumsum(rows) - rows) // WIDE_BLOCK).astype("i4")
+
+        def open_lists(b: pd.DataFrame, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+            angle = np.arccos(np.clip(q @ graph.value.centroids[lists].T, -1, 1)) - radius[lists]
+            ok = angle <= np.arccos(np.clip(b["floor"].to_numpy("f8"), -1, 1))[:, None] + 1e-6
+            place = np.full(n, -1)
+            place[lists] = np.arange(len(lists))
+            skip = b["skip"].tolist()
+            at, col = np.repeat(np.arange(len(b)), [len(x) for x in skip]), place[np.concatenate([np.zeros(0, "i4"), *skip]).astype("i4")]
+            ok[at[col >= 0], col[col >= 0]] = False
+            return ok
+
+        def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for lo in range(0, len(pdf), 1024):
+                    part = pdf.iloc[lo : lo + 1024].copy()
+                    ok = open_lists(part, matrix(part["v"]), np.arange(n))
+                    part["probes"] = [[int(g) for g in np.unique(group[r])] for r in ok]
+                    yield part
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            q, x, home = matrix(b["v"]), matrix(a["v"]), a["home"].to_numpy()
+            lists = np.unique(home)
+            ok = open_lists(b, q, lists)
+
+            def cosines() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+                for j, one in enumerate(lists):
+                    at = np.flatnonzero(home == one)
+                    who = np.flatnonzero(ok[:, j])
+                    for lo in range(0, len(who) if len(at) else 0, 4096):
+                        for to in range(0, len(at), 1024):
+                            r, c = who[lo : lo + 4096], at[to : to + 1024]
+                            yield r, c, q[r] @ x[c].T
+
+            return work(a, b, cosines())
+
+        groups = F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.col("home") + 1)
+        wanted = queries.mapInPandas(mark, T.StructType([*queries.schema.fields, T.StructField("probes", T.ArrayType(T.IntegerType()))]))
+        return self.meet(stored.withColumn("homes", F.array(groups)), wanted, run, fields, WIDE_BLOCK)
+
 
 def nearest_classes(index: Index, k: int, min_cos: float) -> DataFrame:
-    """(id, near): of each class the ``k`` nearest other classes with cosine of at least ``min_cos``, as an array of (cos, id)."""
+    """(id, near): of each class the ``k`` nearest other classes with cosine of at least ``min_cos``, as an array of (cos, id).
+
+    The lists near a class give its first ``k``; all others that can hold a nearer one are searched after them.
+    """
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         s = matrix(b["v"]) @ matrix(a["v"]).T
@@ -219,10 +284,34 @@ def nearest_classes(index: Index, k: int, min_cos: float) -> DataFrame:
         r, c = np.nonzero(s >= floor[:, None])
         return pd.DataFrame({"id": ib[r], "other": ia[c], "cos": s[r, c]})
 
+    def nearer(a: pd.DataFrame, b: pd.DataFrame, cosines: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+        ia, ib, floor = a["id"].to_numpy(), b["id"].to_numpy(), b["floor"].to_numpy("f8")
+        out = [np.zeros((3, 0))]
+        for who, at, s in cosines:
+            hit = s >= floor[who, None]
+            many = np.flatnonzero(hit.sum(1) > k + 1)
+            if len(many):  # no more than the k-th and its ties, one more for the class itself
+                take = s.shape[1] - k - 1
+                hit[many] &= s[many] >= np.partition(s[many], take, axis=1)[:, take, None]
+            r, c = np.nonzero(hit)
+            other = ib[who[r]] != ia[at[c]]
+            out.append(np.stack([who[r], at[c], s[r, c]])[:, other])
+        r, c, s = np.concatenate(out, 1)
+        return pd.DataFrame({"id": ib[r.astype("i8")], "other": ia[c.astype("i8")], "cos": s})
+
+    fields = schema(("id", index.key), ("other", index.key), ("cos", "double"))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("id", "other").agg(F.max("cos").alias("cos"))
+        near = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), F.col("other").alias("id")))).alias("near"))
+        return near.select("id", F.transform(F.slice("near", 1, k), lambda x: F.struct((-x["m"]).alias("cos"), x["id"].alias("id"))).alias("near"))
+
     rows = index.classes.select("id", "v", "homes", "probes")
-    found = index.meet(rows, rows, best, schema(("id", index.key), ("other", index.key), ("cos", "double"))).groupBy("id", "other").agg(F.max("cos").alias("cos"))
-    ranked = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), F.col("other").alias("id")))).alias("near"))
-    return ranked.select("id", F.transform(F.slice("near", 1, k), lambda x: F.struct((-x["m"]).alias("cos"), x["id"].alias("id"))).alias("near"))
+    first = keep(ranked(index.meet(rows, rows, best, fields)))
+    floor = F.when(F.size("near") == k, F.greatest(F.element_at("near", -1)["cos"], F.lit(float(min_cos)))).otherwise(F.lit(float(min_cos)))
+    open_ = rows.join(first, "id", "left").select("id", "v", (floor - 1e-12).alias("floor"), F.col("probes").alias("skip"))
+    more = index.reach(rows.select("id", "v", F.col("homes")[0].alias("home")), open_, nearer, fields)
+    return ranked(first.select("id", F.inline("near")).toDF("id", "cos", "other").unionByName(more))
 
 
 def first_members(index: Index, k: int) -> DataFrame:
@@ -239,7 +328,7 @@ def first_members(index: Index, k: int) -> DataFrame:
 def similar_vectors(df: DataFrame, k: int = 5, min_cos: float = -1.0, id_col: str = "doc_id", vec_col: str = "vec", version_col: str = "built_at", dim: int = 64) -> DataFrame:
     """(id, other, cos, rank): the ``k`` most similar vectors of each clean vector with cosine of at least ``min_cos``.
 
-    Approximate: lists that pruning leaves out are not searched. Equal vectors are searched once and then expanded; equal cosines
+    Exact but for the rounding of cosines: lists are left out only where they can hold nothing nearer. Equal vectors are searched once and then expanded; equal cosines
     rank by id. A vector without neighbours has no row; an empty table gives none.
     """
     index = Index(clean_vectors(df, id_col, vec_col, version_col, dim))
