@@ -253,6 +253,24 @@ def similarity_gate(spark, d):
     return _pairs(spark, d).where(similarity.similar_enough(w, s)).select("w", "s", F.round(similarity.similarity(w, s).cast("double"), 5).alias("sim"))
 
 
+def _all_pairs(spark, d):
+    """Every distinct typed value with every dictionary word; the dictionary is a fixed table, sent to the tasks."""
+    v = _t(spark, d, "typed_words").where(F.trim("element") != "").select(F.lower(F.trim("element")).alias("w")).distinct()
+    return v.crossJoin(F.broadcast(_t(spark, d, "dictionary").select(F.col("word").alias("s"))))
+
+
+@query()
+def edit_distance_all(spark, d):
+    """All typed values and dictionary words; no SQL, as DuckDB counts bytes of other than ASCII letters."""
+    return _all_pairs(spark, d).select("w", "s", similarity.distance(F.col("w"), F.col("s")).alias("dist"))
+
+
+@query()
+def similarity_gate_all(spark, d):
+    w, s = F.col("w"), F.col("s")
+    return _all_pairs(spark, d).where(similarity.similar_enough(w, s)).select("w", "s", F.round(similarity.similarity(w, s).cast("double"), 5).alias("sim"))
+
+
 # documents and index
 
 
