@@ -427,6 +427,11 @@ def _typed(spark, d):
     return _t(spark, d, "typed_words").select(t.alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
 
 
+def _typed_all(spark, d):
+    """All typed values that are not blank, whatever their characters."""
+    return _t(spark, d, "typed_words").select(F.lower(F.trim("element")).alias("word")).where("word <> ''").distinct()
+
+
 @query(f"{_DICT} SELECT word, freq FROM di")
 def dictionary_build(spark, d):
     return _dictionary(spark, d)
@@ -464,12 +469,12 @@ def spell_edits2(spark, d):
 @query()
 def spell_correct(spark, d):
     """Corrections of the typed words by the dictionary table."""
-    return spelling.corrections(_typed(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
+    return spelling.corrections(_typed_all(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
 
 
 @query()
 def spell_gated(spark, d):
-    return spelling.gated_corrections(_typed(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
+    return spelling.gated_corrections(_typed_all(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
 
 
 # search
