@@ -6,6 +6,7 @@ A rule declared later outranks one declared earlier; irregular nouns outrank all
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,15 +50,52 @@ def rules(declared: Iterable[tuple[str, str]], irregular: Iterable[tuple[str, st
     return [*reversed(made), *reversed(list(declared))]
 
 
-def checked(declared: list[tuple[str, str]]) -> list[tuple[str, str]]:
+def checked(declared: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
     """The rules, or ValueError if a pattern is null or empty."""
+    declared = list(declared)
     if any(not p for p, _ in declared):
         raise ValueError("a rule needs a pattern")
     return declared
 
 
-PLURAL_RULES = rules(PLURAL, IRREGULAR)
-SINGULAR_RULES = rules(SINGULAR, [(b, a) for a, b in IRREGULAR])
+def same_rule(a: tuple[str, str], b: tuple[str, str]) -> bool:
+    """Rules are equal if their patterns are, ignoring case."""
+    return a[0].lower() == b[0].lower()
+
+
+PLURAL_RULES = rules(checked(PLURAL), IRREGULAR)
+SINGULAR_RULES = rules(checked(SINGULAR), [(b, a) for a, b in IRREGULAR])
+
+
+@dataclass(frozen=True)
+class Grammar:
+    """Ranked rules and the words they leave alone; each builder gives a new grammar whose rule outranks the others."""
+
+    plurals: tuple[tuple[str, str], ...] = tuple(PLURAL_RULES)
+    singulars: tuple[tuple[str, str], ...] = tuple(SINGULAR_RULES)
+    bare: tuple[str, ...] = tuple(UNCOUNTABLE)
+
+    def plural(self, pattern: str, replacement: str) -> Grammar:
+        return replace(self, plurals=(*checked([(pattern, replacement)]), *self.plurals))
+
+    def singular(self, pattern: str, replacement: str) -> Grammar:
+        return replace(self, singulars=(*checked([(pattern, replacement)]), *self.singulars))
+
+    def irregular(self, one: str, many: str) -> Grammar:
+        return self.plural(*rules([], [(one, many)])[0]).singular(*rules([], [(many, one)])[0])
+
+    def uncountable(self, *words: str) -> Grammar:
+        return replace(self, bare=(*self.bare, *words))
+
+    def clear(self) -> Grammar:
+        """Without any rule: nothing inflects."""
+        return Grammar((), (), ())
+
+    def plural_of(self, c: str) -> Column:
+        return F.expr(_spark_sql(f"`{c}`", self.plurals, self.bare))
+
+    def singular_of(self, c: str) -> Column:
+        return F.expr(_spark_sql(f"`{c}`", self.singulars, self.bare))
 
 
 def is_uncountable(c: Column) -> Column:
@@ -66,14 +104,14 @@ def is_uncountable(c: Column) -> Column:
 
 def apply_rule(c: Column, pattern: str, replacement: str) -> Column:
     """Replacement of all matches, ignoring case; null if there is none."""
+    (pattern, replacement), = checked([(pattern, replacement)])
     return F.when(c.rlike(f"(?i){pattern}"), F.regexp_replace(c, f"(?i){pattern}", replacement))
 
 
-def _spark_sql(word: str, ranked: list[tuple[str, str]]) -> str:
-    bare = ", ".join(f"'{w}'" for w in UNCOUNTABLE)
-    cases = [f"WHEN lower(trim({word})) IN ({bare}) THEN {word}"]
+def _spark_sql(word: str, ranked: Iterable[tuple[str, str]], bare: Iterable[str] = UNCOUNTABLE) -> str:
+    cases = [f"WHEN lower(trim({word})) IN ({', '.join(f"'{w}'" for w in bare)}) THEN {word}"] * bool(bare)
     cases += [f"WHEN {word} RLIKE '(?i){p}' THEN regexp_replace({word}, '(?i){p}', '{r}')" for p, r in ranked]
-    return f"CASE {' '.join(cases)} ELSE {word} END"
+    return f"CASE {' '.join(cases)} ELSE {word} END" if cases else word
 
 
 def _inflect(c: Column | str, ranked: list[tuple[str, str]]) -> Column:

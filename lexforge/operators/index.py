@@ -7,18 +7,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 @dataclass
 class Index:
-    """The four tables of an index; ``lsi`` once it is computed."""
+    """The four tables of an index; ``lsi`` once it is computed, ``rows`` being its form by rows of the longer axis."""
 
     terms: DataFrame
     docs: DataFrame
     postings: DataFrame
     lsi: DataFrame | None = None
+    rows: object = None
 
     def word_doc_frequency(self) -> DataFrame:
         return self.postings
@@ -53,13 +54,13 @@ def row_sums(postings: DataFrame) -> DataFrame:
 def tfidf(postings: DataFrame) -> DataFrame:
     """(word, doc, w): x * (1 + ln n - ln df), then each document's cells divided by their sum.
 
-    df is counted with partial aggregation and joined by word; the sums by document come from one window.
+    df and the documents' sums are counted with partial aggregation and joined back, so a document of many words is cut like any other.
     """
     n = postings.select("doc").distinct().agg(F.count("*").alias("n"))
     df = doc_frequency(postings)
     raw = postings.join(df, "word").join(F.broadcast(n)).select("word", "doc", (F.col("x") * (1 + F.log("n") - F.log("df"))).alias("r"))
-    total = F.sum("r").over(Window.partitionBy("doc"))
-    return raw.select("word", "doc", F.coalesce(F.try_divide(F.col("r"), total), F.lit(float("nan"))).alias("w"))
+    total = raw.groupBy("doc").agg(F.sum("r").alias("total"))
+    return raw.join(total, "doc").select("word", "doc", F.coalesce(F.try_divide("r", "total"), F.lit(float("nan"))).alias("w"))
 
 
 def weigh(weights: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,21 @@ def legend(doc_names: list[str]) -> list[str]:
     return [f"{i} - {d}" for i, d in enumerate(doc_names)]
 
 
+def matrix_lines(postings: DataFrame, doc_names: list[str], title: str = "") -> DataFrame:
+    """(at, line): the matrix with its head and legend, line by line, for results small enough to read."""
+    spark = postings.sparkSession
+    names = [c for c in (f"D{i}" for i in range(len(doc_names)))]
+    head = [(0, "", title + " " * 15 + "".join(f"{n:>8}" for n in names))]
+    tail = [(2, f"{i:09d}", line) for i, line in enumerate(legend(doc_names))]
+    body = matrix_text(postings, doc_names).select(F.lit(1).alias("part"), F.col("word").alias("key"), F.concat("word", *names).alias("line"))
+    lines = spark.createDataFrame(head + tail, "part int, key string, line string").unionByName(body)
+    return lines.select((F.row_number().over(Window.orderBy("part", "key")) - 1).alias("at"), "line")
+
+
 def print_matrix(postings: DataFrame, doc_names: list[str], title: str = "", out=print) -> None:
-    """Write the matrix and its legend, for results small enough to read."""
-    out(title + " " * 15 + "".join(f"{f'D{i}':>8}" for i in range(len(doc_names))))
-    for r in matrix_text(postings, doc_names).orderBy("word").toLocalIterator():
-        out("".join(r))
-    for line in legend(doc_names):
-        out(line)
+    """Write the lines of the matrix."""
+    for r in matrix_lines(postings, doc_names, title).orderBy("at").toLocalIterator():
+        out(r["line"])
 
 
 def list_text(df: DataFrame, item: str, order: str) -> DataFrame:

@@ -15,13 +15,25 @@ from lexforge.sources.dictionary import best_by_prefix, contains
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def mutate(word: str) -> list[str]:
+def mutate(word: str, letters: str = LETTERS) -> list[str]:
     """All words one edit away: deletes, replaces, inserts, transposes."""
     n = len(word)
     return (
         [word[:i] + word[i + 1 :] for i in range(n)]
-        + [word[:i] + c + word[i + 1 :] for i in range(n) for c in LETTERS]
-        + [word[:i] + c + word[i:] for i in range(n + 1) for c in LETTERS]
+        + [word[:i] + c + word[i + 1 :] for i in range(n) for c in letters]
+        + [word[:i] + c + word[i:] for i in range(n + 1) for c in letters]
+        + [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1)]
+    )
+
+
+def sources_of(word: str, others: str) -> list[str]:
+    """The words over the letters and ``others`` of which ``word`` is one edit away; only letters can be replaced or inserted."""
+    n, every = len(word), LETTERS + "".join(sorted(set(others) - set(LETTERS)))
+    new = [i for i in range(n) if word[i] in LETTERS]
+    return (
+        [word[:i] + word[i + 1 :] for i in new]
+        + [word[:i] + c + word[i + 1 :] for i in new for c in every]
+        + [word[:i] + c + word[i:] for i in range(n + 1) for c in every]
         + [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(n - 1)]
     )
 
@@ -61,7 +73,7 @@ def edit_candidates(words: DataFrame, dictionary: DataFrame) -> DataFrame:
                 near = memo[w]
                 if c in near:
                     rows.append((w, c, 1))
-                elif not near.isdisjoint(mutate(c)):
+                elif not near.isdisjoint(sources_of(c, w)):
                     rows.append((w, c, 2))
             yield pd.DataFrame(rows, columns=["word", "candidate", "edits"])
 

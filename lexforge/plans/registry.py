@@ -63,9 +63,9 @@ def _identifiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _java(spark: SparkSession, d: str) -> DataFrame:
-    """The Java files of sources, one row per id."""
+    """The Java files of sources, the latest row of each id."""
     s = _t(spark, d, "sources").where(F.lower("path").endswith(".java"))
-    return s.groupBy("source_id").agg(F.min("content").alias("content")).select(F.format_string("%012d", "source_id").alias("source_name"), "content")
+    return s.groupBy("source_id").agg(F.max_by("content", F.struct("committed_at", "content")).alias("content")).select(F.format_string("%012d", "source_id").alias("source_name"), "content")
 
 
 _TOK = "tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word, unnest(range(len(regexp_extract_all(lower(text), '[a-z]+')))) AS i FROM documents)"
@@ -231,46 +231,37 @@ def uncountable(spark, d):
 
 # similarity of words
 
-_PAIR = "WITH v AS (SELECT DISTINCT lower(trim(element)) AS w FROM typed_words WHERE trim(element) <> ''), x AS (SELECT word AS s FROM dictionary), q AS (SELECT w, s FROM v JOIN x ON substr(w, 1, 2) = substr(s, 1, 2)), z AS (SELECT w, s, levenshtein(w, s)::INT AS dist, (1.0::FLOAT - (levenshtein(w, s)::DOUBLE / greatest(length(w), length(s)))::FLOAT) AS sim FROM q)"
+# a character that no dictionary word has equals none of them, so one byte stands for it: DuckDB counts bytes
+_VALUE = "SELECT DISTINCT lower(trim(element)) AS w, regexp_replace(lower(trim(element)), '[^ -~]', chr(1), 'g') AS b FROM typed_words WHERE trim(element) <> ''"
+_PAIR = f"WITH v AS ({_VALUE}), x AS (SELECT word AS s FROM dictionary), z AS (SELECT w, s, levenshtein(b, s)::INT AS dist, (1.0::FLOAT - (levenshtein(b, s)::DOUBLE / greatest(length(b), length(s)))::FLOAT) AS sim FROM v, x)"
 
 
 def _pairs(spark, d):
-    v = _t(spark, d, "typed_words").where(F.trim("element") != "").select(F.lower(F.trim("element")).alias("w")).distinct()
-    s = _t(spark, d, "dictionary").select(F.col("word").alias("s"))
-    two = F.substring("w", 1, 2) == F.substring("s", 1, 2)
-    return v.where("w RLIKE '^[ -~]*$'").join(s, two)
-
-
-@query(f"{_PAIR} SELECT w, s, dist FROM z WHERE regexp_full_match(w, '[ -~]*')")
+    """Every distinct typed value with every dictionary word: the values are the stated query set, the words a fixed list of known size."""
+    v = _t(spark, d, "typed_words").select(F.lower(F.trim("element")).alias("w")).where("w <> ''").distinct()
+    words = sorted(r["word"] for r in _t(spark, d, "dictionary").select("word").limit(100_001).collect())
+    if len(words) > 100_000:
+        raise ValueError("the list of words is too long to be sent to the tasks")
+    out = None
+    for lo in range(0, max(1, len(words)), 2000):
+        part = v.select("w", F.explode(F.array(*[F.lit(x) for x in words[lo : lo + 2000]]).cast("array<string>")).alias("s"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"{_PAIR} SELECT w, s, dist FROM z")
 def edit_distance(spark, d):
-    """Typed values and dictionary words that begin alike."""
+    """All typed values and dictionary words."""
     return _pairs(spark, d).select("w", "s", similarity.distance(F.col("w"), F.col("s")).alias("dist"))
 
 
-@query(f"{_PAIR} SELECT w, s, round(sim::DOUBLE, 5) AS sim FROM z WHERE sim > 0.3::FLOAT AND regexp_full_match(w, '[ -~]*')")
+@query(f"{_PAIR} SELECT w, s, round(sim::DOUBLE, 5) AS sim FROM z WHERE sim > 0.3::FLOAT")
 def similarity_gate(spark, d):
+    """All typed values and dictionary words that are similar enough."""
     w, s = F.col("w"), F.col("s")
     return _pairs(spark, d).where(similarity.similar_enough(w, s)).select("w", "s", F.round(similarity.similarity(w, s).cast("double"), 5).alias("sim"))
 
 
-def _all_pairs(spark, d):
-    """Every distinct typed value with every dictionary word; the dictionary is a fixed table, sent to the tasks."""
-    v = _t(spark, d, "typed_words").where(F.trim("element") != "").select(F.lower(F.trim("element")).alias("w")).distinct()
-    return v.crossJoin(F.broadcast(_t(spark, d, "dictionary").select(F.col("word").alias("s"))))
-
-
-@query()
-def edit_distance_all(spark, d):
-    """All typed values and dictionary words; no SQL, as DuckDB counts bytes of other than ASCII letters."""
-    return _all_pairs(spark, d).select("w", "s", similarity.distance(F.col("w"), F.col("s")).alias("dist"))
-
-
-@query()
-def similarity_gate_all(spark, d):
-    w, s = F.col("w"), F.col("s")
-    return _all_pairs(spark, d).where(similarity.similar_enough(w, s)).select("w", "s", F.round(similarity.similarity(w, s).cast("double"), 5).alias("sim"))
-
-
 # documents and index
 
 
@@ -347,14 +338,14 @@ def matrix_row_col(spark, d):
     return index.row(p, "cache").unionByName(index.column(p, 3)).distinct()
 
 
-_SHOWN = ("java", "python", "json", "xml")
+_SHOWN = ("java", "python", "json", "xml", "markdown", "text", "none")
 
 
-@query("WITH g AS (SELECT repo AS word, lower(lang) AS doc, count(DISTINCT source_id)::DOUBLE AS x FROM sources WHERE repo IS NOT NULL GROUP BY ALL) SELECT printf('%15s', word) AS word, " + ", ".join(f"printf('%8.4f', coalesce(sum(x) FILTER (doc = '{n}'), 0.0)) AS D{i}" for i, n in enumerate(_SHOWN)) + " FROM g GROUP BY g.word")
+@query("WITH g AS (SELECT coalesce(repo, '-') AS word, CASE WHEN lang IS NULL THEN 'none' ELSE lower(lang) END AS doc, count(DISTINCT source_id)::DOUBLE AS x FROM sources GROUP BY ALL) SELECT printf('%15s', word) AS word, " + ", ".join(f"printf('%8.4f', coalesce(sum(x) FILTER (doc = '{n}'), 0.0)) AS D{i}" for i, n in enumerate(_SHOWN)) + " FROM g GROUP BY g.word")
 def matrix_print(spark, d):
-    """Files by repository and language as fixed-width text."""
-    s = _t(spark, d, "sources").where("repo IS NOT NULL")
-    m = s.groupBy(F.col("repo").alias("word"), F.lower("lang").alias("doc")).agg(F.count_distinct("source_id").cast("double").alias("x"))
+    """Files by repository and language as fixed-width text; a null repository prints as -."""
+    s = _t(spark, d, "sources")
+    m = s.groupBy(F.coalesce("repo", F.lit("-")).alias("word"), F.coalesce(F.lower("lang"), F.lit("none")).alias("doc")).agg(F.count_distinct("source_id").cast("double").alias("x"))
     return sinks.matrix_text(m, list(_SHOWN))
 
 
@@ -394,28 +385,20 @@ _KM = """WITH o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS
 @query(f"{_KM} SELECT g::INT AS group_id, id AS vec_id FROM a2")
 def kmeans_two_pass(spark, d):
     """Two passes of k-means over all embeddings, ids in order."""
-    e = _embeddings(spark, d).withColumn("ord", F.row_number().over(_by("id"))).withColumnRenamed("id", "item")
-    return clustering.kmeans(e)[0].select(F.col("group").alias("group_id"), F.col("item").alias("vec_id"))
+    return clustering.kmeans(_embeddings(spark, d).withColumnRenamed("id", "item"))[0].select(F.col("group").alias("group_id"), F.col("item").alias("vec_id"))
 
 
 @query(f"{_KM} SELECT g::INT AS group_id, '[' || string_agg(id::VARCHAR, ', ' ORDER BY id) || ']' AS items FROM a2 GROUP BY g")
 def group_strings(spark, d):
     """Non-empty groups as text."""
-    e = _embeddings(spark, d).withColumn("ord", F.row_number().over(_by("id"))).withColumnRenamed("id", "item")
-    return clustering.group_strings(clustering.kmeans(e)[0]).select(F.col("group").alias("group_id"), "items")
-
-
-def _by(column):
-    from pyspark.sql import Window
-
-    return Window.orderBy(column)
+    return clustering.group_strings(clustering.kmeans(_embeddings(spark, d).withColumnRenamed("id", "item"))[0]).select(F.col("group").alias("group_id"), "items")
 
 
 # dictionary and spelling
 
 _DICT = f"WITH ru AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS r FROM documents), pi AS (SELECT unnest({_split_sql('r')}) AS p FROM ru), di AS (SELECT lower(regexp_replace(regexp_replace(p, '^[0-9]+', ''), '[0-9]+$', '')) AS word, count(*) AS freq FROM pi WHERE length(p) > 2 AND NOT {_ONE_KIND.format(w='p')} AND NOT regexp_full_match(p, '[0-9]+') GROUP BY 1)"
 _PB = "pb AS (SELECT prefix, arg_min(word, (-freq, word)) AS best FROM (SELECT word, freq, unnest([substr(word, 1, k) FOR k IN range(1, length(word) + 1)]) AS prefix FROM di WHERE word <> '') GROUP BY prefix)"
-_UNK = "un AS (SELECT DISTINCT lower(trim(element)) AS word FROM typed_words WHERE regexp_full_match(lower(trim(element)), '[a-z]+') AND lower(trim(element)) NOT IN (SELECT word FROM di))"
+_UNK = "un AS (SELECT DISTINCT lower(trim(element)) AS word FROM typed_words WHERE trim(element) <> '' AND lower(trim(element)) NOT IN (SELECT word FROM di))"
 
 
 def _dictionary(spark, d):
@@ -423,11 +406,6 @@ def _dictionary(spark, d):
 
 
 def _typed(spark, d):
-    t = F.lower(F.trim("element"))
-    return _t(spark, d, "typed_words").select(t.alias("word")).where(F.col("word").rlike("^[a-z]+$")).distinct()
-
-
-def _typed_all(spark, d):
     """All typed values that are not blank, whatever their characters."""
     return _t(spark, d, "typed_words").select(F.lower(F.trim("element")).alias("word")).where("word <> ''").distinct()
 
@@ -437,7 +415,7 @@ def dictionary_build(spark, d):
     return _dictionary(spark, d)
 
 
-@query(f"{_DICT} SELECT DISTINCT lower(trim(element)) AS word, lower(trim(element)) IN (SELECT word FROM di) AS known FROM typed_words WHERE regexp_full_match(lower(trim(element)), '[a-z]+')")
+@query(f"{_DICT} SELECT DISTINCT lower(trim(element)) AS word, lower(trim(element)) IN (SELECT word FROM di) AS known FROM typed_words WHERE trim(element) <> ''")
 def dictionary_contains(spark, d):
     return dictionary.contains(_typed(spark, d), _dictionary(spark, d)).select("word", "known")
 
@@ -454,27 +432,37 @@ def prefix_completion(spark, d):
     return spelling.prefix_completions(unknown, dic)
 
 
-@query("WITH t AS (SELECT DISTINCT lower(trim(element)) AS word FROM typed_words WHERE regexp_full_match(lower(trim(element)), '[a-z]+')) SELECT t.word, x.word AS candidate FROM t JOIN dictionary x ON abs(length(t.word) - length(x.word)) <= 1 AND damerau_levenshtein(t.word, x.word) <= 1")
+_NEAR = f"""WITH v AS ({_VALUE}), near AS (SELECT w AS word, word AS candidate, freq, damerau_levenshtein(b, word) AS edits FROM v JOIN dictionary ON abs(length(b) - length(word)) <= 2 AND damerau_levenshtein(b, word) <= 2),
+ pb AS (SELECT prefix, arg_min(word, (-freq, word)) AS best FROM (SELECT word, freq, unnest([substr(word, 1, k) FOR k IN range(1, length(word) + 1)]) AS prefix FROM dictionary WHERE word <> '') GROUP BY prefix),
+ un AS (SELECT v.w AS word, b, {_ONE_KIND.format(w='v.w')} AS bare, coalesce(p.best, q.best) AS completion FROM v LEFT JOIN pb p ON v.w = p.prefix LEFT JOIN pb q ON substr(v.w, 1, length(v.w) - 1) = q.prefix WHERE v.w NOT IN (SELECT word FROM dictionary)),
+ e1 AS (SELECT word, arg_min(candidate, (-freq, candidate)) AS c FROM near WHERE edits = 1 GROUP BY word), e2 AS (SELECT word, arg_min(candidate, (-freq, candidate)) AS c FROM near WHERE edits > 0 GROUP BY word),
+ won AS (SELECT un.word, un.b, x.c FROM un JOIN (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT word, completion FROM un WHERE completion IS NOT NULL) x ON un.word = x.word WHERE un.bare),
+ top AS (SELECT won.word, arg_min(c, (-((1.0::FLOAT - (levenshtein(won.b, c)::DOUBLE / greatest(length(won.b), length(c)))::FLOAT)), -freq, c)) AS c FROM won JOIN dictionary ON c = dictionary.word GROUP BY won.word),
+ fix AS (SELECT un.word, coalesce(CASE WHEN bare THEN top.c ELSE completion END, un.word) AS corrected FROM un LEFT JOIN top ON un.word = top.word UNION ALL SELECT w, w FROM v WHERE w IN (SELECT word FROM dictionary))"""
+
+
+@query(f"{_NEAR} SELECT word, candidate FROM near WHERE edits <= 1")
 def spell_edits1(spark, d):
-    """Dictionary words one edit from each typed word."""
+    """Dictionary words up to one edit from each typed value."""
     return spelling.edit_candidates(_typed(spark, d), _t(spark, d, "dictionary")).where("edits = 1").select("word", "candidate")
 
 
-@query("WITH t AS (SELECT DISTINCT lower(trim(element)) AS word FROM typed_words WHERE regexp_full_match(lower(trim(element)), '[a-z]+')) SELECT t.word, x.word AS candidate FROM t JOIN dictionary x ON abs(length(t.word) - length(x.word)) <= 2 AND damerau_levenshtein(t.word, x.word) <= 2")
+@query(f"{_NEAR} SELECT word, candidate FROM near")
 def spell_edits2(spark, d):
-    """Dictionary words up to two edits from each typed word."""
+    """Dictionary words up to two edits from each typed value."""
     return spelling.edit_candidates(_typed(spark, d), _t(spark, d, "dictionary")).select("word", "candidate")
 
 
-@query()
+@query(f"{_NEAR} SELECT word, corrected FROM fix")
 def spell_correct(spark, d):
-    """Corrections of the typed words by the dictionary table."""
-    return spelling.corrections(_typed_all(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
+    """Corrections of all typed values by the dictionary table."""
+    return spelling.corrections(_typed(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
 
 
-@query()
+@query(f"{_NEAR} SELECT fix.word, CASE WHEN fix.word = corrected OR (1.0::FLOAT - (levenshtein(b, corrected)::DOUBLE / greatest(length(b), length(corrected)))::FLOAT) > 0.3::FLOAT THEN corrected ELSE fix.word END AS corrected FROM fix JOIN v ON fix.word = v.w")
 def spell_gated(spark, d):
-    return spelling.gated_corrections(_typed_all(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
+    """The same, where the correction is similar enough."""
+    return spelling.gated_corrections(_typed(spark, d), _t(spark, d, "dictionary").select("word", "freq"))
 
 
 # search
@@ -524,13 +512,7 @@ def search_no_match(spark, d):
 
 
 def _selected(spark, d) -> index.Index:
-    words = _clean(spark, d)
-    top = select.weighted_words(words, select.MOST)
-    held = select.counted(words)[1].join(F.broadcast(top.select("word")), "word")  # at most MOST words
-    made = index.create_index(held)
-    made.terms, made.postings = top.cache(), made.postings.cache()  # at most MOST words; read many times below
-    made.lsi = lsi.lsi_matrix(made.postings)
-    return made
+    return select.selected_index(select.counted(_clean(spark, d))[1])[1]
 
 
 @query()
@@ -556,13 +538,12 @@ def search_words_lsi(spark, d):
 
 @query()
 def word_groups(spark, d):
-    made = _selected(spark, d)
-    return select.group_words(made, made.terms).select(F.col("group").alias("group_id"), F.col("item").alias("word"))
+    return select.group_words(_selected(spark, d)).select(F.col("group").alias("group_id"), F.col("item").alias("word"))
 
 
 @query()
 def doc_groups(spark, d):
-    return select.group_docs(_selected(spark, d)).select(F.col("group").alias("group_id"), F.col("item").alias("doc_id"))
+    return select.group_docs(_selected(spark, d))[0].select(F.col("group").alias("group_id"), F.col("item").alias("doc_id"))
 
 
 # Java sources
@@ -574,10 +555,9 @@ def java_identifiers(spark, d):
     return javalex.java_identifiers(_java(spark, d)).where("method IS NOT NULL").select("source_name", "pos", "package", "type", "method", "is_ctor", "identifier")
 
 
-@query("SELECT DISTINCT lower(doc) AS doc FROM docs WHERE false")
-def java_unparsed(spark, d):
-    """Files whose scan failed: none."""
-    return javalex.java_identifiers(_java(spark, d)).where("error IS NOT NULL").select(F.col("source_name").alias("doc"))
+@query("SELECT count(*) AS total FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)")
+def token_total(spark, d):
+    return counting.token_total(_words(spark, d))
 
 
 @query()
@@ -595,5 +575,5 @@ def java_select(spark, d):
 
 @query()
 def java_subtree(spark, d):
-    """Identifiers of the methods whose names begin with trim."""
-    return corpus.scan(_java(spark, d)).where(F.lower("method").startswith("trim")).groupBy("method", "identifier").agg(F.count("*").alias("n"))
+    """Identifiers of the sub-trees of methods called trim."""
+    return corpus.scan_subtree(_java(spark, d), method="trim").groupBy("type", "identifier").agg(F.count("*").alias("n"))

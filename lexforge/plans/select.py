@@ -16,10 +16,13 @@ from lexforge.operators import clustering, counting, index, lsi, search
 from lexforge.operators.spelling import gated_corrections
 from lexforge.sources import corpus
 from lexforge.sources.stopwords import COUNTING, DEFAULT, stop_words, without_stop_words
+from lexforge.storage import keep
 
 #: Fixed value: at most so many words are selected.
 MOST = 150
 Strategy = Callable[[DataFrame], DataFrame]
+#: From words (word) and a dictionary to (word, corrected).
+Corrector = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def clamp(k: int | None) -> int:
@@ -31,10 +34,11 @@ def apply(words: DataFrame, strategy: Strategy) -> DataFrame:
     return words.transform(strategy)
 
 
-def extract(sources: DataFrame, dictionary: DataFrame | None = None, methods: list[str] | None = None, stop_lists: tuple[str, ...] = DEFAULT, extra_stops: DataFrame | None = None) -> DataFrame:
+def extract(sources: DataFrame, dictionary: DataFrame | None = None, methods: list[str] | None = None, stop_lists: tuple[str, ...] = DEFAULT, extra_stops: DataFrame | None = None, corrector: Corrector = gated_corrections) -> DataFrame:
     """(word, doc, pos) of the words in the identifiers of methods; pos is (source, token, piece), a total order.
 
-    ``methods`` keeps methods of these names, in any case. With a dictionary, unknown words are corrected once per distinct word.
+    ``methods`` keeps methods of these names, in any case. With a dictionary, ``corrector`` gives (word, corrected) for the words. Files are scanned
+    once; stop lists, inflection and correction are applied to the distinct pieces and come back with one join.
     """
     stops = stop_words(sources.sparkSession, stop_lists, extra_stops)
     ids = corpus.scan(sources)
@@ -42,17 +46,18 @@ def extract(sources: DataFrame, dictionary: DataFrame | None = None, methods: li
         ids = ids.where(F.lower("method").isin(*[m.lower() for m in methods]))
     ids = ids.withColumn("identifier", strip_digits(F.col("identifier"))).where(accepted(F.col("identifier")))
     doc = corpus.container()
-    pieces = ids.select(doc.alias("doc"), "source_name", "pos", F.posexplode(camel_pieces(F.col("identifier"))).alias("k", "piece"))
-    pieces = without_stop_words(pieces.withColumn("word", F.col("piece")), stops, plural=True).withColumn("word", F.lower("word"))
+    pieces = keep(ids.select(doc.alias("doc"), "source_name", "pos", F.posexplode(camel_pieces(F.col("identifier"))).alias("k", "piece")))
+    known = without_stop_words(pieces.select("piece").distinct(), stops, "piece", plural=True).select("piece", F.lower("piece").alias("word"))
     if dictionary is not None:
-        pieces = pieces.join(gated_corrections(pieces.select("word"), dictionary), "word", "left").withColumn("word", F.coalesce("corrected", "word"))
-    words = pieces.select("word", "doc", F.struct("source_name", "pos", "k").alias("pos"))
-    return without_stop_words(words, stops)
+        known = keep(known)
+        known = known.join(corrector(known.select("word").distinct(), dictionary), "word", "left").select("piece", F.coalesce("corrected", "word").alias("word"))
+    known = without_stop_words(known, stops)
+    return pieces.join(known, "piece").select("word", "doc", F.struct("source_name", "pos", "k").alias("pos"))
 
 
 def counted(words: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Counts and postings after the fixed stop lists of counting."""
-    return counting.count_words(without_stop_words(words, stop_words(words.sparkSession, COUNTING)), **options)
+    return counting.count_words(words, stops=stop_words(words.sparkSession, COUNTING), **options)
 
 
 def frequent_words(words: DataFrame, k: int | None = None) -> DataFrame:
@@ -68,12 +73,28 @@ def flatten_words(words: DataFrame) -> DataFrame:
 
 def weighted_words(words: DataFrame, k: int | None = None) -> DataFrame:
     """(word, score) by falling tf-idf score, equal ones by name; empty input gives none."""
-    postings = counted(words)[1]
+    return ranked_words(counted(words)[1], k)
+
+
+def ranked_words(postings: DataFrame, k: int | None = None) -> DataFrame:
+    """:func:`weighted_words` of words that are counted already."""
     scores = index.weigh(index.tfidf(postings.withColumn("x", F.lit(1.0))))
     out = scores.orderBy(F.desc("score"), "word")
     return out if k is None else out.limit(max(0, k))
 
 
+def selected_index(postings: DataFrame, k: int | None = None) -> tuple[DataFrame, index.Index]:
+    """The ranked words (rank, word, score), at most MOST, and the index of their documents; cells are 0 or 1. Both are kept, the words counted once."""
+    spark = postings.sparkSession
+    top = [(i, r["word"], r["score"]) for i, r in enumerate(ranked_words(postings, clamp(k)).collect(), 1)]
+    ranked = spark.createDataFrame(top, "rank int, word string, score double")
+    made = index.create_index(postings.join(F.broadcast(ranked.select("word")), "word"))  # at most MOST words
+    made.terms, made.postings = ranked, keep(made.postings)
+    made.rows = lsi.lsi_rows(made.postings)
+    made.lsi = made.rows.cells("w")
+    return ranked, made
+
+
 def by_frequency(k: int | None = None) -> Strategy:
     return lambda words: frequent_words(words, k)
 
@@ -83,45 +104,65 @@ def by_composite_weight(k: int | None = None) -> Strategy:
 
 
 class Selection:
-    """Select, index, group and query the words of a corpus."""
+    """Select, index, group and query the words of a corpus. ``options`` are those of :func:`extract`."""
 
     def __init__(self, sources: DataFrame, k: int | None = None, **options) -> None:
         self.words = extract(sources, **options)
-        self.selected = weighted_words(self.words, clamp(k))
+        self.selected, self._index = selected_index(counted(self.words)[1], k)
 
     def index(self) -> index.Index:
-        """Index of the selected words in their documents; cells are 0 or 1."""
-        held = counted(self.words)[1].join(F.broadcast(self.selected.select("word")), "word")  # at most MOST words
-        made = index.create_index(held)
-        made.postings = made.postings.cache()
-        made.lsi = lsi.lsi_matrix(made.postings)
-        return made
+        """Index of the selected words in their documents."""
+        return self._index
+
+    def groups(self, items: DataFrame, strategy: clustering.Magnet) -> DataFrame:
+        """Items handed to a strategy of grouping."""
+        return clustering.grouped(items, strategy)
 
-    def word_groups(self, **options) -> DataFrame:
-        return group_words(self.index(), self.selected, **options)
+    def word_groups(self, **options) -> clustering.Groups:
+        return clustering.Groups(group_words(self._index, **options), self._index)
 
-    def doc_groups(self, **options) -> DataFrame:
-        return group_docs(self.index(), **options)
+    def doc_groups(self, **options) -> clustering.Groups:
+        return clustering.Groups(*_with_index(group_docs(self._index, **options), self._index))
 
     def methods(self, keywords: DataFrame) -> DataFrame:
         """Documents like the keywords."""
-        return search.result(search.search_docs(self.index().lsi, keywords))
+        return search.result(search.search_docs(self._index.lsi, keywords))
 
     def types(self, docs: DataFrame) -> DataFrame:
         """Words like the documents."""
-        return search.result(search.search_words(self.index().lsi, docs))
-
-
-def group_words(made: index.Index, ranked: DataFrame, **options) -> DataFrame:
-    """(group, ord, item, vec): words in the order of their rank."""
-    order = counting.ranked(ranked.select("word", "score"), F.desc("score"), "word").select(F.col("word").alias("item"), F.col("rank").alias("ord"))
-    items = clustering.vectors(made.lsi, "word", "doc", "w").join(order, "item")
-    return clustering.kmeans(items, **options)[0]
-
-
-def group_docs(made: index.Index, **options) -> DataFrame:
-    """(group, ord, item, vec): documents in the order of their names."""
-    vec = clustering.vectors(made.lsi, "doc", "word", "w")
-    first = vec.select("item").orderBy("item").rdd.map(lambda r: r[0]).zipWithIndex()
-    order = made.postings.sparkSession.createDataFrame(first.map(lambda t: (t[0], t[1] + 1)), made.postings.select(F.col("doc").alias("item")).schema.add("ord", "integer"))
-    return clustering.kmeans(vec.join(order, "item"), **options)[0]
+        return search.result(search.search_words(self._index.lsi, docs))
+
+
+def _with_index(found: tuple[DataFrame, DataFrame], made: index.Index) -> tuple[DataFrame, index.Index, DataFrame]:
+    return found[0], made, found[1]
+
+
+def _by_rows(made: index.Index, item: str, names: list | None) -> DataFrame:
+    """(item, vec) of an axis that is the longer one."""
+    rows = made.rows.rows.select(F.col(item).alias("item"), F.col("v").alias("vec"))
+    if names is None:
+        return rows
+    order = made.lsi.sparkSession.createDataFrame([(v, i) for i, v in enumerate(names, 1)], f"item {made.postings.schema[item].dataType.simpleString()}, ord int")
+    return rows.join(F.broadcast(order), "item")  # names are selected words
+
+
+def group_words(made: index.Index, names: list | None = None, **options) -> DataFrame:
+    """(group, ord, item): words in the order of ``names``, else of their rank; none gives no groups."""
+    names = [r["word"] for r in made.terms.orderBy("rank").collect()] if names is None else list(names)
+    if not names:
+        return made.lsi.sparkSession.createDataFrame([], "group int, ord int, item string")
+    if made.rows.long == "word":
+        return clustering.kmeans(_by_rows(made, "word", names), **options)[0].select("group", "ord", "item")
+    place = {w: i for i, w in enumerate(made.rows.names)}
+    at = F.array(*[F.lit(place[w]) for w in names if w in place])
+    rows = made.rows.rows.select(F.transform(at, lambda i: F.element_at("v", i + 1)).alias("vec"))
+    return clustering.kmeans_columns(rows, [w for w in names if w in place], **options)
+
+
+def group_docs(made: index.Index, **options) -> tuple[DataFrame, DataFrame]:
+    """((group, item, ...), centers): documents in the order of their names."""
+    if made.rows.long == "doc":
+        return clustering.kmeans(_by_rows(made, "doc", None), **options)
+    vec = F.col("v").alias("vec")
+    groups = clustering.kmeans_columns(made.rows.rows.select(vec), made.rows.names, **options)
+    return groups, None

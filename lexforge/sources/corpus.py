@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from lexforge.functions.tokens import words_of
 
+from lexforge.storage import spread
+
 from .javalex import java_identifiers
 
 SOURCES = T.StructType([T.StructField("source_name", T.StringType()), T.StructField("content", T.StringType())])
@@ -36,6 +38,11 @@ def scan_subtree(sources: DataFrame, type_name: str | None = None, method: str |
     return out
 
 
+def without_scope(sources: DataFrame) -> DataFrame:
+    """(source_name) of the files that give no identifier within a method: they do not parse, or hold no type with methods."""
+    return sources.select("source_name").distinct().join(scan(sources).select("source_name").distinct(), "source_name", "left_anti")
+
+
 def container() -> Column:
     """package.Type#method, (C) after constructors."""
     typ = F.coalesce("type", F.lit(""))
@@ -50,5 +57,6 @@ def literal_words(spark: SparkSession, words: list[str]) -> DataFrame:
 
 def text_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, doc, pos) of the runs of a-z of each text, in lower case; pos is (id, place), a total order."""
-    words = docs.select(F.col(id_col).alias("doc"), F.posexplode(words_of(F.col(text_col))).alias("at", "word"))
+    texts = spread(docs.select(id_col, text_col))
+    words = texts.select(F.col(id_col).alias("doc"), F.posexplode(words_of(F.col(text_col))).alias("at", "word"))
     return words.select("word", "doc", F.struct(F.col("doc").alias("d"), F.col("at").alias("i")).alias("pos"))

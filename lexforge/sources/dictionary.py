@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexforge.functions.tokens import camel_pieces, is_number, one_kind_of_letter, trim_numbers
+from lexforge.storage import spread
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -18,7 +19,7 @@ def load_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def build_dictionary(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, freq). Filters see a piece before its digits are trimmed, so a short word can still come out."""
-    runs = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\w+"), F.lit(0))).alias("run"))
+    runs = spread(texts.select(text_col)).select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\w+"), F.lit(0))).alias("run"))
     piece = runs.groupBy("run").count().select(F.explode(camel_pieces(F.col("run"))).alias("p"), "count")
     kept = piece.where((F.length("p") > 2) & ~one_kind_of_letter(F.col("p")) & ~is_number(F.col("p")))
     return kept.groupBy(F.lower(trim_numbers(F.col("p"))).alias("word")).agg(F.sum("count").alias("freq"))

@@ -7,7 +7,7 @@ what is a method follows from the shape ``name ( ... )`` at the level of a type'
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -130,8 +130,8 @@ def identifiers(text: str) -> list[tuple[int, str, str | None, str | None, bool,
     return out
 
 
-def java_identifiers(sources: DataFrame, name_col: str = "source_name", content_col: str = "content") -> DataFrame:
-    """One row per identifier (see SCHEMA). A file that fails gives one row with ``error``; a null text gives none."""
+def java_identifiers(sources: DataFrame, name_col: str = "source_name", content_col: str = "content", scanner: Callable[[str], list[tuple]] = identifiers) -> DataFrame:
+    """One row per identifier (see SCHEMA), as ``scanner`` finds them. A file that fails gives one row with ``error``; a null text gives none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["source_name", "pos", "package", "type", "method", "is_ctor", "identifier", "error"]
@@ -139,7 +139,7 @@ def java_identifiers(sources: DataFrame, name_col: str = "source_name", content_
             rows = []
             for name, text in zip(pdf["_name"], pdf["_text"]):
                 try:
-                    rows += [(name, *r, None) for r in identifiers(text)]
+                    rows += [(name, *r, None) for r in scanner(text)]
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the scan
                     rows.append((name, None, None, None, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=cols)

@@ -16,7 +16,7 @@ def test_all_pairs(spark, tmp_path):
     spark.createDataFrame([(w,) for w in words], "word string").write.parquet(f"{tmp_path}/dictionary.parquet")
     want = {(w, s): levenshtein(w, s) for w in {x.strip().lower() for x in typed if x and x.strip()} for s in words}
     made = registry.queries()
-    assert {(r["w"], r["s"]): r["dist"] for r in made["edit_distance_all"](spark, str(tmp_path)).collect()} == want
+    assert {(r["w"], r["s"]): r["dist"] for r in made["edit_distance"](spark, str(tmp_path)).collect()} == want
     near = {k for k, n in want.items() if 1 - n / max(map(len, k)) > 0.3001}
-    assert {(r["w"], r["s"]) for r in made["similarity_gate_all"](spark, str(tmp_path)).collect()} == near
+    assert {(r["w"], r["s"]) for r in made["similarity_gate"](spark, str(tmp_path)).collect()} == near
     assert {("acche", "cache"), ("cäche", "cache"), ("xhread", "thread")} <= near

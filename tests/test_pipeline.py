@@ -127,6 +127,40 @@ def test_search_goldens(spark):
     assert search.search_docs(m, key("zzz"), on_no_match="empty").count() == 0
 
 
+def test_the_long_side_needs_no_gram_matrix(spark, monkeypatch):
+    want = {(r["word"], r["doc"]): r["x"] for r in lsi.project(incidence(spark, 3)).collect()}
+    monkeypatch.setattr(lsi, "MAX_SIDE", 2)
+    got = {(r["word"], r["doc"]): r["x"] for r in lsi.project(incidence(spark, 3)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_grouping_columns_equals_grouping_rows(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(12, 30))
+    items = spark.createDataFrame([(f"i{k:02d}", [float(v) for v in row]) for k, row in enumerate(x)], "item string, vec array<double>")
+    columns = spark.createDataFrame([([float(v) for v in row],) for row in x.T], "vec array<double>")
+    for metric in ("max_product", "cosine"):
+        a = {r["item"]: r["group"] for r in clustering.kmeans(items, metric=metric, passes=3)[0].collect()}
+        b = {r["item"]: r["group"] for r in clustering.kmeans_columns(columns, [f"i{k:02d}" for k in range(12)], metric=metric, passes=3).collect()}
+        assert a == b and len(set(a.values())) > 1
+
+
+def test_long_chains_of_singulars(spark, monkeypatch):
+    monkeypatch.setattr(counting, "singular_of", lambda c: F.expr(f"CASE WHEN length({c}) > 1 THEN substring({c}, 1, length({c}) - 1) ELSE {c} END"))
+    words = ["a" * n for n in range(1, 9)]
+    stats = spark.createDataFrame([(w, 1, i) for i, w in enumerate(words)], "word string, n long, first_pos int")
+    # every second word of the chain is an entry
+    assert {r["word"]: r["root"] for r in counting.fold_roots(stats).collect()} == {w: w if len(w) % 2 else w[:-1] for w in words}
+
+
+def test_kept_tables_are_released(spark):
+    from lexforge import storage
+
+    kept = storage.keep(spark.range(3))
+    assert kept.count() == 3 and storage.release(spark) > 0 and storage.release(spark) == 0
+
+
 def test_fold_in(spark):
     q = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "term string, weight double")
     u = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 3.0), ("b", 1, 1.0)], "word string, k int, x double")
@@ -190,7 +224,10 @@ def test_empty_tables(spark):
 def test_selection_flow(spark):
     s = select.Selection(program(spark, 1), extra_stops=spark.createDataFrame([(w,) for w in STOPS], "word string"))
     groups = s.word_groups()
-    assert {r["item"] for r in groups.collect()} == {"quicksort", "pivot", "partition", "randomized"}
+    assert {r["item"] for r in groups.members.collect()} == {"quicksort", "pivot", "partition", "randomized"}
+    assert not groups.is_empty() and groups.index is s.index()
+    docs = s.doc_groups()
+    assert docs.proximity().count() == 4 and docs.members.select("item").distinct().count() == 4
     assert s.methods(spark.createDataFrame([("pivot",)], "word string")).count() >= 1
 
 
