@@ -142,7 +142,7 @@ def normalised(a: Rows) -> Rows:
         sums = a.rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("s")).orderBy("i").collect()
         s = F.array(*[F.lit(r["s"]) for r in sums])
         v = F.zip_with("v", s, lambda x, t: F.when(t == 0, nan).otherwise(F.abs(F.try_divide(x, t))))
-    return Rows(a.rows.select(a.long, v.alias("v")), a.long, a.short, a.names, a.words, a.docs, a._type)
+    return Rows(keep(a.rows.select(a.long, v.alias("v"))), a.long, a.short, a.names, a.words, a.docs, a._type)
 
 
 def lsi_rows(postings: DataFrame) -> Rows:
