@@ -141,7 +141,7 @@ def p7_files(spark: SparkSession, d: str) -> DataFrame:
     """Repair cost and cause of each invalid file."""
     from .syntax import check_syntax
 
-    return check_syntax(table(spark, d, "sources")).where("cost > 0").select("source_id", "language", "cost", "tokens", "cause", "first_edit")
+    return check_syntax(table(spark, d, "sources")).where("cost > 0").select("source_id", "language", "cost", "least", "tokens", "cause", "first_edit")
 
 
 def p7_rates(spark: SparkSession, d: str) -> DataFrame:
