@@ -1,10 +1,11 @@
 """Problem 1: mapping free-entered values to a canonical list.
 
 Token-level repair: every distinct value is read in several notations (as tokens, as
-one word, with endings taken off); each distinct token is joined to the vocabulary of
-the reference list by edit distance. The join runs over shared letter pairs, with the
-count filter that no word within the distance can fail. Shortened forms join by prefix
-and by consonant skeleton. Corrected tokens are combined with soft TF-IDF to rank
+one word, with endings taken off); each distinct token is compared with the vocabulary of
+the reference list by edit distance. The vocabulary passes to the tasks in blocks of
+at most VOCABULARY words; a product of letter-pair indicators leaves the pairs that no word within the distance can
+fail, and these are measured. Shortened forms are measured by the same distance with gap costs: a cut-off end is
+one gap, dropped vowels are cheap ones. Corrected tokens are combined with soft TF-IDF to rank
 complete entries; the best one is taken if its score reaches the limit.
 """
 
@@ -12,20 +13,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank, join_hot, keep, pick, width
+from .common import blank, join_hot, keep, pick
 
 #: Letters of other scripts that look like Latin ones, and digits typed for letters.
 LOOKALIKES = str.maketrans("асеіјорѕтухһкмнвԁԛԝαοε", "aceijopstyxhkmhbdqwaoe")
 DIGITS = str.maketrans("013457@$", "oieastas")
 CLOSE, ACCEPT = 0.6, 0.62
-PREFIX_SCORE, SKELETON_SCORE, STEM_SCORE = 0.74, 0.86, 0.98
+STEM_SCORE = 0.98
+#: Gap costs of shortened forms, in edits: of a cut-off end its first letter and each further one, and of a dropped vowel.
+CUT_OPEN, CUT_MORE, VOWEL = 1.3, 0.15, 0.35
+#: Words of a vocabulary block, buckets of the letter-pair indicators, and table cells of a filter step.
+VOCABULARY, PAIRS, CELLS = 20_000, 256, 2_000_000
 
 
 def plain(text: str) -> str:
@@ -95,44 +101,97 @@ def edit_distances(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def _grams(c: Column) -> Column:
-    padded = F.concat(F.lit("^"), c, F.lit("$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(padded, i, F.lit(2))))
+def reach(length: int) -> int:
+    """Edits that a word of this length may differ by."""
+    return 1 if length <= 4 else 2 if length <= 6 else 3 if length <= 9 else 4
+
+
+def shortened(word: str) -> dict[str, float]:
+    """Shortened forms of three letters or more with their similarity: 1 - gap costs / length."""
+    n, out = len(word), {}
+    for k in range(3, n):
+        out[word[:k]] = 1 - (CUT_OPEN + CUT_MORE * (n - k - 1)) / n
+    for head in (word[:1], ""):
+        form = head + re.sub("[aeiou]", "", word[len(head) :])
+        if 3 <= len(form) < n:
+            out[form] = max(out.get(form, 0.0), 1 - VOWEL * (n - len(form)) / n)
+    return out
 
 
-def _reach(length: Column) -> Column:
-    """Edits that a word of this length may differ by."""
-    return F.when(length <= 4, 1).when(length <= 6, 2).when(length <= 9, 3).otherwise(4)
+def _pairs(words: list[str]) -> np.ndarray:
+    """One row per word: which buckets its letter pairs, with its ends, fall into. Shared buckets only raise what two words have in common."""
+    out = np.zeros((len(words), PAIRS), "f4")
+    for i, w in enumerate(words):
+        p = f"^{w}$"
+        out[i, [(ord(x) * 31 + ord(y) * 17) % PAIRS for x, y in zip(p, p[1:])]] = 1
+    return out
+
+
+def _letters(words: list[str], most: int) -> np.ndarray:
+    """One row per word: a bucket for each letter and each time it occurs, up to ``most``; products of rows count the letters in common."""
+    out = np.zeros((len(words), 32 * most), "f4")
+    for i, w in enumerate(words):
+        n = Counter(ord(x) % 32 for x in w)
+        out[i, [k * most + j for k, c in n.items() for j in range(min(c, most))]] = 1
+    return out
+
+
+class Vocabulary:
+    """A block of words with what the filters need."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words = words
+        self.size = np.fromiter(map(len, words), "i4", len(words))
+        self.far = np.fromiter((reach(n) for n in self.size), "i4", len(words))
+        self.most = max((c for w in words for c in Counter(ord(x) % 32 for x in w).values()), default=1)
+        self.pairs, self.letters = _pairs(words), _letters(words, self.most)
+        self.forms: dict[str, list[tuple[str, float]]] = {}
+        for w in words:
+            for form, sim in shortened(w).items():
+                self.forms.setdefault(form, []).append((w, sim))
+
+    def close(self, tokens: list[str]) -> Iterator[tuple[str, str, float]]:
+        """(token, word, similarity) of all pairs within reach whose similarity is at least CLOSE, and of the shortened forms.
+
+        Of d edits the s swaps leave the letters as they are and touch three pairs, the others touch two; so letters missing in the other word
+        number at most d - s, and all but 2 d + s pairs are in common. No pair within reach fails these bounds.
+        """
+        yield from ((t, w, s) for t in tokens for w, s in self.forms.get(t, ()))
+        longest, step = int(self.size.max(initial=0)) + 4, max(1, CELLS // max(1, len(self.words)))
+        tokens = [t for t in tokens if len(t) <= longest]
+        for lo in range(0, len(tokens) if self.words else 0, step):
+            part = tokens[lo : lo + step]
+            lt = np.fromiter(map(len, part), "i4", len(part))[:, None]
+            p = _pairs(part)
+            missing = np.maximum(lt, self.size) - _letters(part, self.most) @ self.letters.T
+            need = np.maximum(p.sum(1)[:, None], self.pairs.sum(1)) - 3 * self.far + missing
+            r, c = np.nonzero((np.abs(lt - self.size) <= self.far) & (missing <= self.far) & (p @ self.pairs.T >= need))
+            if len(r):
+                a, b = [part[i] for i in r], [self.words[j] for j in c]
+                d = edit_distances(a, b)
+                sim = 1 - d / np.maximum(lt[r, 0], self.size[c])
+                yield from ((x, y, float(z)) for x, y, z in zip(a, b, sim) if z >= CLOSE)
 
 
 def correct_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim) of the vocabulary words close to each token.
 
-    ``tokens``: distinct token; ``vocabulary``: distinct word. ``sim`` is 1 - edits / longer length, at least CLOSE; or the fixed
-    score of a token that begins a word (3 letters or more) or is the consonants of one.
+    ``tokens``: distinct token; ``vocabulary``: distinct word. ``sim`` is 1 - edits / longer length, at least CLOSE, or that of a shortened form.
+    Tokens stay where they are; pairs are neither joined nor shuffled, so no frequent letter pair gathers anything.
     """
-    longest = vocabulary.agg(F.max(F.length("word")).alias("longest"))
-    short = tokens.join(F.broadcast(longest)).where(F.length("token") <= F.col("longest") + 4).select("token")
-    g = short.select("token", F.explode(_grams(F.col("token"))).alias("g")).join(vocabulary.select("word", F.explode(_grams(F.col("word"))).alias("g")), "g")
-    lt, lw = F.length("token"), F.length("word")
-    # distinct letter pairs: a repeated one can be missing from the count, hence the allowance of one
-    near = g.where(F.abs(lt - lw) <= _reach(lw)).groupBy("token", "word").agg(F.count("*").alias("shared"))
-    near = near.where(F.col("shared") >= F.greatest(F.lit(1), F.greatest(lt, lw) - 2 * _reach(lw))).select("token", "word")
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                a, b = pdf["token"].tolist(), pdf["word"].tolist()
-                d = edit_distances(a, b)
-                long = np.maximum(np.fromiter(map(len, a), "f8"), np.fromiter(map(len, b), "f8"))
-                yield pdf.assign(sim=1 - d / long)
+    sc = tokens.sparkSession.sparkContext
+    blocks, out = vocabulary.count() // VOCABULARY + 1, None
+    for b in range(blocks):
+        words = sorted(r["word"] for r in vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == b).select("word").collect())  # about VOCABULARY words
+        shared = sc.broadcast(Vocabulary(words))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame(list(shared.value.close(pdf["token"].tolist())), columns=["token", "word", "sim"])
 
-    near = near.mapInPandas(measure, "token string, word string, sim double").where(F.col("sim") >= CLOSE)
-    heads = vocabulary.select("word", F.explode(F.sequence(F.lit(3), F.greatest(F.lit(3), F.length("word") - 1))).alias("k")).select("word", F.expr("substring(word, 1, k)").alias("token")).where("length(token) < length(word)")
-    bones = vocabulary.select("word", F.expr("explode(array(concat(substring(word, 1, 1), regexp_replace(substring(word, 2), '[aeiou]', '')), regexp_replace(word, '[aeiou]', '')))").alias("token")).where("length(token) >= 3 and token <> word").distinct()
-    by_head = short.join(heads, "token").select("token", "word", F.lit(PREFIX_SCORE).alias("sim"))
-    by_bone = short.join(bones, "token").select("token", "word", F.lit(SKELETON_SCORE).alias("sim"))
-    return near.unionByName(by_head).unionByName(by_bone).groupBy("token", "word").agg(F.max("sim").alias("sim"))
+        found = tokens.select("token").mapInPandas(run, "token string, word string, sim double")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("token", "word").agg(F.max("sim").alias("sim"))
 
 
 def map_values(values: DataFrame, reference: DataFrame, value_col: str = "element", key_col: str = "term_id", word_col: str = "word", freq_col: str = "freq") -> DataFrame:
@@ -158,7 +217,8 @@ def map_values(values: DataFrame, reference: DataFrame, value_col: str = "elemen
             rows = [(v, k, w, t) for v in pdf["value"] for k, (w, tokens) in enumerate(notations(v)) for t in tokens]
             yield pd.DataFrame(rows, columns=["value", "reading", "weight", "token"])
 
-    readings = distinct.repartition(width(values.sparkSession, 2)).mapInPandas(read, "value string, reading int, weight double, token string")
+    readings = distinct.mapInPandas(read, "value string, reading int, weight double, token string")
+    readings = keep(readings)
     close = keep(correct_tokens(readings.select("token").distinct(), entry_tokens.select("word").distinct()))
     top_idf = F.lit(1.0) + F.log(F.col("n_entries"))
     # a typed token weighs as the rarest word it may stand for; one that stands for none weighs as an unknown word

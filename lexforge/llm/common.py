@@ -59,5 +59,5 @@ def join_hot(rows: DataFrame, stats: DataFrame, key: str, size: str, total: Data
     flagged = stats.join(F.broadcast(total.select("total_rows"))).withColumn("_hot", F.col(size) * HEAVY >= F.col("total_rows")).drop("total_rows")
     hot = F.broadcast(flagged.where("_hot").drop("_hot"))
     hot_keys = F.broadcast(flagged.where("_hot").select(key))
-    light = flagged.where("not _hot").drop("_hot").hint("shuffle_hash")
+    light = flagged.where("not _hot").drop("_hot")
     return rows.join(hot, key).unionByName(rows.join(hot_keys, key, "left_anti").join(light, key, how), allowMissingColumns=True)

@@ -30,7 +30,7 @@ def _mapped(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The dictionary entry meant by each typed word that is not one itself, 0 for none."""
-    words = F.broadcast(table(spark, d, "dictionary").select(F.col("word").alias("value")))
+    words = table(spark, d, "dictionary").select(F.col("word").alias("value"))
     return _mapped(spark, d).join(words, "value", "left_anti").select(F.col("id").alias("typed_id"), F.col("key").alias("term_id"))
 
 

@@ -52,20 +52,30 @@ def test_edit_distances(pairs):
     assert edit_distances(list(a), list(b)).tolist() == [plain_osa(x, y) for x, y in pairs]
 
 
-def test_letter_pair_filter_loses_nothing(spark):
-    from lexforge.llm.canonical import CLOSE, correct_tokens
+def test_filters_lose_nothing(spark, monkeypatch):
+    from lexforge.llm import canonical as C
 
     r = random.Random(3)
-    vocab = ["".join(r.choice("abcde") for _ in range(r.randint(3, 9))) for _ in range(40)]
-    typed = ["".join(r.choice("abcde") for _ in range(r.randint(3, 9))) for _ in range(60)]
-    got = {(x["token"], x["word"]) for x in correct_tokens(spark.createDataFrame([(t,) for t in set(typed)], "token string"), spark.createDataFrame([(v,) for v in set(vocab)], "word string")).collect()}
-    reach = lambda n: 1 if n <= 4 else 2 if n <= 6 else 3 if n <= 9 else 4
-    for t in set(typed):
-        for v in set(vocab):
+    vocab = sorted({"".join(r.choice("abcde") for _ in range(r.randint(3, 12))) for _ in range(60)})
+    typed = sorted({"".join(r.choice("abcde") for _ in range(r.randint(3, 12))) for _ in range(120)} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for w in vocab for i in (0, len(w) // 2 - 1)})
+    monkeypatch.setattr(C, "VOCABULARY", 25)
+    frame = lambda c, x: spark.createDataFrame([(t,) for t in x], f"{c} string")
+    got = {(x["token"], x["word"]): x["sim"] for x in C.correct_tokens(frame("token", typed), frame("word", vocab)).collect()}
+    want = {(t, v): s for v in vocab for t, s in C.shortened(v).items() if t in typed}
+    for t in typed:
+        for v in vocab:
             d = plain_osa(t, v)
-            # a swap of neighbours touches three letter pairs, so words near the limit by swaps may be filtered
-            if d <= reach(len(v)) - 1 and 1 - d / max(len(t), len(v)) >= CLOSE:
-                assert (t, v) in got
+            if d <= C.reach(len(v)) and (s := 1 - d / max(len(t), len(v))) >= C.CLOSE:
+                want[t, v] = max(s, want.get((t, v), 0))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_shortened_forms():
+    from lexforge.llm.canonical import ACCEPT, shortened
+
+    forms = shortened("configuration")
+    assert ACCEPT < forms["con"] < forms["config"] < forms["configuratio"] < 1 and forms["cnfgrtn"] > ACCEPT
+    assert shortened("abc") == {}
 
 
 def test_readings():
