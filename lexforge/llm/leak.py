@@ -11,7 +11,8 @@ looked up, and the score of an alignment is at most
 
 Words at which the second sum is 0 end every alignment, so only one of each stretch of them
 is kept. The items are the stated query set: they go to the tasks in blocks of at most
-BLOCK_WORDS words, each of which passes over all texts; texts are never shuffled.
+BLOCK_WORDS words, each of which passes over all texts; texts are shuffled
+only where their table has fewer splits than there are cores.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, schema, type_of, width
+from .common import pick, schema, spread, type_of
 
 BLOCK_WORDS = 2_000_000
 #: Items are bounded in groups of about so many words, table cells at a time, and aligned so many pairs at a time.
@@ -73,10 +74,6 @@ def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("text").isNotNull()).repartition(width(docs.sparkSession, 2))
-
-
 def _blocks(items: DataFrame) -> int:
     words = items.agg(F.sum(F.length("text") / 5)).first()[0] or 0
     return int(words // BLOCK_WORDS) + 1
@@ -86,8 +83,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id, item, score, share, longest_run): texts and the items they hold.
 
     ``share`` is the score over that of the whole item. A pair comes out if its longest common run has at least ``window`` words
-    or its share is at least ``min_share``; all such pairs do. An item shorter than ``seed_words`` never leaks;
-    null and empty texts hold nothing. A repeated text row or a repeated item gives its pairs once.
+    or its share is at least ``min_share``; all such pairs do. An item shorter than ``seed_words`` comes out where the whole of it stands as a run
+    (half of three words would be anywhere); an item without words never does. Null and empty texts hold nothing. A repeated text row or a repeated item gives its pairs once.
     """
     key, item_key = type_of(docs, id_col), type_of(items, item_col)
     docs = pick(docs, id=id_col, text=text_col)
@@ -104,8 +101,10 @@ def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 class _Group:
     """Some items with the bounds of their alignments with a text."""
 
-    def __init__(self, items: list[np.ndarray], vocabulary: int, window: int, min_share: float) -> None:
-        self.items, self.window = items, window
+    def __init__(self, items: list[np.ndarray], vocabulary: int, window: int, min_share: float, short: int) -> None:
+        self.items = items
+        # lengths of the runs looked up: of short items the whole
+        self.lengths = sorted({len(w) if len(w) < short else window for w in items})
         held = np.unique(np.concatenate(items))
         self.code = np.full(vocabulary + 1, len(held), "i4")
         self.code[held] = np.arange(len(held))
@@ -114,9 +113,11 @@ class _Group:
         self.runs: dict[bytes, set[int]] = {}
         for k, w in enumerate(items):
             np.add.at(self.counts[:, k], self.code[w], 1)
-            for i in range(len(w) - window + 1):
-                self.runs.setdefault(w[i : i + window].tobytes(), set()).add(k)
-        self.need = np.array([max(1, math.ceil(min_share * MATCH * len(w) - 1e-9)) for w in items])
+            run = len(w) if len(w) < short else window
+            for i in range(len(w) - run + 1):
+                self.runs.setdefault(w[i : i + run].tobytes(), set()).add(k)
+        # a short item's score is never enough
+        self.need = np.array([max(1, math.ceil(min_share * MATCH * len(w) - 1e-9)) if len(w) >= short else MATCH * len(w) + 1 for w in items])
 
     def pairs(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item, words of ``doc`` to align with it) of all items that may leak."""
@@ -128,8 +129,9 @@ class _Group:
         exact: set[int] = set()
         ends = np.flatnonzero(np.concatenate(([True], code == other, [True])))
         for lo, hi in zip(ends[:-1], ends[1:] - 1):
-            for i in range(lo, hi - self.window + 1):
-                exact |= self.runs.get(doc[i : i + self.window].tobytes(), set())
+            for run in self.lengths:
+                for i in range(lo, hi - run + 1):
+                    exact |= self.runs.get(doc[i : i + run].tobytes(), set())
         may[list(exact)] = True
         cols = np.flatnonzero(may)
         step = max(1, CELLS // max(1, len(doc)))
@@ -144,7 +146,7 @@ class _Group:
 
 
 def _one_block(docs: DataFrame, items: list[tuple], fields, n: int, window: int, min_share: float) -> DataFrame:
-    items = [(k, w) for k, w in items if len(w) >= max(1, n)]
+    items = [(k, w) for k, w in items if w]
     number = {w: i for i, w in enumerate(sorted({w for _, words in items for w in words}))}
     shared = docs.sparkSession.sparkContext.broadcast((items, number))  # at most BLOCK_WORDS words
 
@@ -156,7 +158,7 @@ def _one_block(docs: DataFrame, items: list[tuple], fields, n: int, window: int,
             texts = [(key, np.array([number.get(w, len(number)) for w in words_of(text)], "i4")) for key, text in zip(pdf["id"], pdf["text"])]
             for g in np.unique(cuts):
                 at = np.flatnonzero(cuts == g)
-                group = _Group([ids[k] for k in at], len(number), window, min_share)
+                group = _Group([ids[k] for k in at], len(number), window, min_share, n)
                 open_: list[tuple] = []
                 for last, (key, doc) in enumerate(texts, 1 - len(texts)):
                     open_ += [(key, at[k], part) for k, part in group.pairs(doc)] if len(doc) else []
@@ -164,9 +166,9 @@ def _one_block(docs: DataFrame, items: list[tuple], fields, n: int, window: int,
                         rows = []
                         for (who, k, _), (score, longest) in zip(open_, align_all([(part, ids[k]) for _, k, part in open_])):
                             share = score / (MATCH * len(ids[k]))
-                            if longest >= window or share >= min_share:
+                            if longest >= window or (share >= min_share if len(ids[k]) >= n else longest == len(ids[k])):
                                 rows.append((who, items[k][0], score, share, longest))
                         open_ = []
                         yield pd.DataFrame(rows, columns=["id", "item", "score", "share", "longest_run"])
 
-    return _texts(docs).mapInPandas(search, fields)
+    return spread(docs).where(F.col("text").isNotNull()).mapInPandas(search, fields)
