@@ -54,6 +54,17 @@ def test_term_frequencies_equal_brute_force(spark, max_n):
     assert got == {k: (len(v), sum(x[1] for x in v), len({x[0] for x in v} - {None})) for k, v in want.items()}
 
 
+def test_runs_of_any_length(spark):
+    """With no greatest length the array is deepened until nothing occurs twice."""
+    run = [f"w{k}" for k in range(9)]
+    rows = [(100 * b + i, w, 1, f"r{b}", i, 0, "") for b, seq in enumerate([["a", *run, "b"], ["c", *run, "d"], ["e"]]) for i, w in enumerate(seq)]
+    got = {(r["n"], r["term"]): (r["occurrences"], r["records"]) for r in term_frequencies(valid_words(raw(spark, rows)), max_n=None).collect()}
+    assert max(n for n, _ in got) == 9 and got[9, " ".join(run)] == (2, 2)
+    assert {k for k, v in got.items() if v[0] > 1} == {(n, " ".join(run[i : i + n])) for n in range(1, 10) for i in range(10 - n)}
+    alone = raw(spark, rows[:1])
+    assert [tuple(r)[:3] for r in term_frequencies(valid_words(alone), max_n=None).collect()] == [(1, "a", 1)]
+
+
 def test_marks_and_empty_table(spark):
     df = raw(spark, [(1, "a", 1, "r1", 0, 0, ""), (2, "b", 5, "r1", 0, 0, ""), (3, "b", 5, "r2", 0, 0, "")])
     t = term_frequencies(valid_words(df), common_share=1.0)
