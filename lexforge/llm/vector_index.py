@@ -29,6 +29,9 @@ from .common import join_hot, keep, pick, schema, type_of, width
 SAMPLE, LEAF, DEGREE, BLOCK = 40_000, 64, 16, 4096
 #: Rows of a cell in the exact search.
 WIDE_BLOCK = 16_384
+#: Rows and queries multiplied at a time, and by how much a cosine in single precision may be off.
+CHUNK, ROUNDING = 2048, 2e-6
+Exact = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def clean_vectors(df: DataFrame, id_col: str = "doc_id", vec_col: str = "vec", version_col: str = "built_at", dim: int = 64) -> DataFrame:
@@ -142,7 +145,7 @@ class Graph:
 class Index:
     """An index over (id, v); ``classes`` has one row for each different vector: id (the smallest), v, copies, homes, probes."""
 
-    def __init__(self, vectors: DataFrame, lists: int = 20, ratio: float = 0.3, replicas: int = 4, replica_ratio: float = 0.1) -> None:
+    def __init__(self, vectors: DataFrame, lists: int = 6, ratio: float = 0.3, replicas: int = 4, replica_ratio: float = 0.1) -> None:
         self.spark = vectors.sparkSession
         self.key = type_of(vectors, "id")
         self.members = keep(vectors)
@@ -211,11 +214,12 @@ class Index:
         names = fields.names
         return as_int(s).groupBy(*cell).cogroup(as_int(q).groupBy(*cell)).applyInPandas(run, fields)
 
-    def reach(self, stored: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], pd.DataFrame], fields) -> DataFrame:
+    def reach(self, stored: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], Exact], pd.DataFrame], fields) -> DataFrame:
         """Apply ``work`` to stored rows, queries and all their cosines that may reach the query's ``floor``.
 
         ``stored`` has columns home and v, ``queries`` v, floor and skip (lists not to search). The third argument of ``work`` yields
-        (query places, stored places, cosines), list by list. A list is left out only if no vector as far from its centre as its farthest
+        (query places, stored places, cosines in single precision) by blocks, the fourth gives the exact cosines of pairs of places: within
+        ROUNDING of a bound they decide. A list is left out only if no vector as far from its centre as its farthest
         one can reach the floor. Lists are joined to groups of about WIDE_BLOCK rows.
         """
         graph = self.graph
@@ -229,39 +233,45 @@ class Index:
             radius[home], rows[home] = np.arccos(np.clip(c, -1, 1)) if unit else np.pi, size
         group = ((np.cumsum(rows) - rows) // WIDE_BLOCK).astype("i4")
 
-        def open_lists(b: pd.DataFrame, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
-            angle = np.arccos(np.clip(q @ graph.value.centroids[lists].T, -1, 1)) - radius[lists]
-            ok = angle <= np.arccos(np.clip(b["floor"].to_numpy("f8"), -1, 1))[:, None] + 1e-6
-            place = np.full(n, -1)
-            place[lists] = np.arange(len(lists))
-            skip = b["skip"].tolist()
-            at, col = np.repeat(np.arange(len(b)), [len(x) for x in skip]), place[np.concatenate([np.zeros(0, "i4"), *skip]).astype("i4")]
-            ok[at[col >= 0], col[col >= 0]] = False
+        cos_r, sin_r = np.cos(np.clip(radius, 0, np.pi)), np.sin(np.clip(radius, 0, np.pi))
+
+        def open_lists(floor: np.ndarray, q: np.ndarray, lists: np.ndarray) -> np.ndarray:
+            # the list is open if angle(query, centre) <= angle of the floor + radius; cosines are compared, sums beyond half a turn reach all
+            f = np.clip(floor, -1, 1)[:, None]
+            least = f * cos_r[lists] - np.sqrt(1 - f * f) * sin_r[lists]
+            wide = f <= -cos_r[lists]
+            ok = (q @ graph.value.centroids[lists].T >= least - 1e-6) | wide
+            ok[:, radius[lists] < 0] = False
             return ok
 
         def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            first = np.flatnonzero(np.diff(group, prepend=-1))
             for pdf in batches:
                 for lo in range(0, len(pdf), 1024):
                     part = pdf.iloc[lo : lo + 1024].copy()
-                    ok = open_lists(part, matrix(part["v"]), np.arange(n))
-                    part["probes"] = [[int(g) for g in np.unique(group[r])] for r in ok]
+                    ok = open_lists(part["floor"].to_numpy("f8"), matrix(part["v"]), np.arange(n))
+                    for row, at in enumerate(part["skip"]):
+                        ok[row, np.asarray(at, "i8")] = False
+                    any_ = np.maximum.reduceat(ok, first, axis=1)
+                    part["probes"] = [[int(g) for g in group[first[r]]] for r in any_]
                     yield part
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            a = a.sort_values("home", kind="stable", ignore_index=True)
             q, x, home = matrix(b["v"]), matrix(a["v"]), a["home"].to_numpy()
-            lists = np.unique(home)
-            ok = open_lists(b, q, lists)
+            q4, x4, floor = q.astype("f4"), x.astype("f4"), b["floor"].to_numpy("f8")
 
             def cosines() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-                for j, one in enumerate(lists):
-                    at = np.flatnonzero(home == one)
-                    who = np.flatnonzero(ok[:, j])
-                    for lo in range(0, len(who) if len(at) else 0, 4096):
-                        for to in range(0, len(at), 1024):
-                            r, c = who[lo : lo + 4096], at[to : to + 1024]
-                            yield r, c, q[r] @ x[c].T
+                for to in range(0, len(x), CHUNK):
+                    at = np.arange(to, min(to + CHUNK, len(x)))
+                    lists = np.unique(home[at])
+                    for lo in range(0, len(q), CHUNK):
+                        who = np.arange(lo, min(lo + CHUNK, len(q)))
+                        r = who[open_lists(floor[who], q[who], lists).any(1)]
+                        if len(r):
+                            yield r, at, q4[r] @ x4[to : to + CHUNK].T
 
-            return work(a, b, cosines())
+            return work(a, b, cosines(), lambda r, c: np.einsum("ij,ij->i", q[r], x[c]))
 
         groups = F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.col("home") + 1)
         wanted = queries.mapInPandas(mark, T.StructType([*queries.schema.fields, T.StructField("probes", T.ArrayType(T.IntegerType()))]))
@@ -284,18 +294,21 @@ def nearest_classes(index: Index, k: int, min_cos: float) -> DataFrame:
         r, c = np.nonzero(s >= floor[:, None])
         return pd.DataFrame({"id": ib[r], "other": ia[c], "cos": s[r, c]})
 
-    def nearer(a: pd.DataFrame, b: pd.DataFrame, cosines: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    def nearer(a: pd.DataFrame, b: pd.DataFrame, cosines: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], exact: Exact) -> pd.DataFrame:
         ia, ib, floor = a["id"].to_numpy(), b["id"].to_numpy(), b["floor"].to_numpy("f8")
         out = [np.zeros((3, 0))]
         for who, at, s in cosines:
-            hit = s >= floor[who, None]
+            hit = s >= (floor[who, None] - ROUNDING).astype("f4")
             many = np.flatnonzero(hit.sum(1) > k + 1)
             if len(many):  # no more than the k-th and its ties, one more for the class itself
                 take = s.shape[1] - k - 1
-                hit[many] &= s[many] >= np.partition(s[many], take, axis=1)[:, take, None]
+                hit[many] &= s[many] >= np.partition(s[many], take, axis=1)[:, take, None] - np.float32(2 * ROUNDING)
             r, c = np.nonzero(hit)
-            other = ib[who[r]] != ia[at[c]]
-            out.append(np.stack([who[r], at[c], s[r, c]])[:, other])
+            r, c = who[r], at[c]
+            r, c = r[ib[r] != ia[c]], c[ib[r] != ia[c]]
+            e = exact(r, c)
+            ok = e >= floor[r]
+            out.append(np.stack([r[ok], c[ok], e[ok]]))
         r, c, s = np.concatenate(out, 1)
         return pd.DataFrame({"id": ib[r.astype("i8")], "other": ia[c.astype("i8")], "cos": s})
 
@@ -316,7 +329,8 @@ def nearest_classes(index: Index, k: int, min_cos: float) -> DataFrame:
 
 def first_members(index: Index, k: int) -> DataFrame:
     """(id, first): the ``k`` smallest ids of each class; hot classes are cut by salt before."""
-    c = index.members.join(index.classes_raw.where("copies > 1").select(F.col("id").alias("rep"), "v"), "v").select("rep", "id")
+    total = index.classes_raw.agg(F.sum("copies").alias("total_rows"))
+    c = join_hot(index.members, index.classes_raw.where("copies > 1").select(F.col("id").alias("rep"), "v", "copies"), "v", "copies", total).select("rep", "id")
     from pyspark.sql import Window
 
     c = c.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(256)))
@@ -340,7 +354,7 @@ def similar_vectors(df: DataFrame, k: int = 5, min_cos: float = -1.0, id_col: st
     cand = wide.unionByName(own).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), "other"))).alias("cand"))
     classes = index.classes_raw.select("id", "v", "copies")
     cand = cand.join(classes, "id").select(F.col("id").alias("rep"), "cand", "copies")
-    member = index.members.join(classes.select(F.col("id").alias("rep"), "v"), "v").select("id", "rep")
     total = index.classes_raw.agg(F.sum("copies").alias("total_rows"))
+    member = join_hot(index.members, classes.select(F.col("id").alias("rep"), "v", "copies"), "v", "copies", total).select("id", "rep")
     out = join_hot(member, cand, "rep", "copies", total).select("id", F.posexplode(F.slice(F.filter("cand", lambda x: x["other"] != F.col("id")), 1, k)).alias("rank", "n"))
     return out.select("id", F.col("n.other").alias("other"), (-F.col("n.m")).alias("cos"), (F.col("rank") + 1).alias("rank"))
