@@ -14,7 +14,7 @@ EPS = 1e-12
 
 def query_vector(keywords: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, weight): 1/m at each of the m matching terms, 0 elsewhere; NaN everywhere if none matches."""
-    hit = terms.select(F.col("word").alias("term")).distinct().join(F.broadcast(keywords.select(F.col("word").alias("term"), F.lit(1).alias("hit")).distinct()), "term", "left")
+    hit = terms.select(F.col("word").alias("term")).distinct().join(keywords.select(F.col("word").alias("term"), F.lit(1).alias("hit")).distinct(), "term", "left")
     m = hit.agg(F.count("hit").alias("m"))
     return hit.join(F.broadcast(m)).select("term", F.when(F.col("m") == 0, float("nan")).when(F.col("hit").isNotNull(), F.try_divide(F.lit(1.0), "m")).otherwise(0.0).alias("weight"))
 
@@ -29,7 +29,7 @@ def _search(matrix: DataFrame, keys: DataFrame, match: str, item: str, cell: str
     """Score of each item: sum over matched cells / (sqrt(m) * norm), one aggregate over the matrix."""
     k = keys.select(F.col(keys.columns[0]).alias(match), F.lit(1).alias("hit")).distinct()
     m = matrix.select(match).distinct().join(k, match).agg(F.count("*").alias("m"))
-    flagged = matrix.join(F.broadcast(k), match, "left")  # the keys are a query, not data
+    flagged = matrix.join(k, match, "left")  # Spark broadcasts the keys if they are few
     sums = flagged.groupBy(F.col(item).alias("item")).agg(F.sum(F.when(F.col("hit").isNotNull(), F.abs(cell)).otherwise(0.0)).alias("hits"), F.sqrt(F.sum(F.col(cell) * F.col(cell))).alias("norm"))
     score = F.when((F.col("m") == 0) | (F.col("norm") == 0), float("nan")).otherwise(F.try_divide(F.col("hits"), F.sqrt("m") * F.col("norm")))
     out = sums.join(F.broadcast(m)).select("item", score.alias("score")).where(F.isnan("score") | (F.col("score") > EPS))
