@@ -170,7 +170,7 @@ class Vocabulary:
                 a, b = [part[i] for i in r], [self.words[j] for j in c]
                 d = edit_distances(a, b)
                 sim = 1 - d / np.maximum(lt[r, 0], self.size[c])
-                yield from ((x, y, float(z)) for x, y, z in zip(a, b, sim) if z >= CLOSE)
+                yield from ((x, y, float(z)) for x, y, z, ok in zip(a, b, sim, d <= self.far[c]) if ok and z >= CLOSE)
 
 
 def correct_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
