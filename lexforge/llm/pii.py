@@ -2,8 +2,8 @@
 
 A character-level bidirectional LSTM with CRF transitions (:mod:`.pii_model`)
 reads every text in overlapping windows. Each window is decoded by Viterbi; where
-windows overlap, the span that lies farthest from a window's edge is kept, for the
-whole text at once. :mod:`.pii_rules` then snaps span edges to the exact value.
+windows overlap, a span counts as the window sees it in which its middle lies farthest from the edges, and of spans
+that still cross the longer one stays. :mod:`.pii_rules` may then trim span edges; it rejects no span for its form.
 
 Defined results: a null or empty text has no spans and comes back unchanged; texts
 of any length are read whole, in windows; equal texts give equal spans; equal
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pii_model as M
-from .common import pick, schema, type_of, width
+from .common import pick, schema, spread, type_of
 from .pii_rules import snap
 
 SPAN, STEP, BATCH = 256, 160, 384
@@ -59,10 +59,12 @@ def tag(texts: list[str | None], params: dict | None = None) -> list[list[tuple[
         for row in np.flatnonzero(best.any(1)):
             k, lo, n = starts[part[row]]
             size = len(ids[part[row]])
+            # a place belongs to the window in which it lies farthest from the edges: the middle of two overlaps divides them
+            own_lo = lo + (SPAN - STEP) // 2 if lo else 0
+            own_hi = lo + STEP + (SPAN - STEP) // 2 if lo + size < n else n + 1
             for a, b, kind in M.spans(best[row, :size]):
-                left = a if lo else SPAN
-                right = size - b if lo + size < n else SPAN
-                raw.setdefault(k, []).append((-min(left, right), lo + a, lo + b, kind))
+                if own_lo <= lo + (a + b) // 2 < own_hi:
+                    raw.setdefault(k, []).append((a - b, lo + a, lo + b, kind))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for k, found in raw.items():
         kept: list[tuple[int, int, str]] = []
@@ -98,8 +100,7 @@ def tag_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     "redacted": redacted,
                 })
 
-    spread = pick(df, _id=id_col, _text=text_col).repartition(width(df.sparkSession))
-    return spread.mapInPandas(run, schema(("_id", key), ("spans", span), ("redacted", T.StringType()))).withColumnRenamed("_id", id_col)
+    return spread(pick(df, _id=id_col, _text=text_col), 2).mapInPandas(run, schema(("_id", key), ("spans", span), ("redacted", T.StringType()))).withColumnRenamed("_id", id_col)
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

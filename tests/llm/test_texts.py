@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lexforge.llm import pii, pii_model, pii_rules, pii_train
 from lexforge.llm.leak import align, leaked_items, words_of
@@ -15,6 +17,32 @@ def test_apportion():
     assert apportion([], [], 3) == [] and apportion([1.0], [2], 5) == [2]
 
 
+def quotients(weights, caps, seats):
+    """Seat by seat."""
+    got = [0] * len(weights)
+    for _ in range(seats):
+        open_ = [i for i in range(len(weights)) if got[i] < caps[i] and weights[i] > 0]
+        if not open_:
+            break
+        got[max(open_, key=lambda i: (weights[i] / (2 * got[i] + 1), -i))] += 1
+    return got
+
+
+@given(st.lists(st.tuples(st.sampled_from([0.0, 0.1, 0.25, 0.5, 1.0, 3.7]), st.integers(0, 9)), max_size=7), st.integers(0, 40))
+@settings(max_examples=200, deadline=None)
+def test_apportion_equals_one_seat_at_a_time(sources, seats):
+    w, c = [x for x, _ in sources], [y for _, y in sources]
+    assert apportion(w, c, seats) == quotients(w, c, seats)
+
+
+def test_small_shares_do_not_vanish(spark):
+    assert apportion([0.9999, 0.0001], [10**12, 10**12], 10**10) == [9_999_000_000, 1_000_000]
+    docs = spark.createDataFrame([(i, f"word {i} text", "big") for i in range(6000)] + [(10_000 + i, f"tiny {i}", "tiny") for i in range(3)], "doc_id long, text string, source string")
+    goals = spark.createDataFrame([("big", 0.9995, 1), ("tiny", 0.0005, 1)], "source string, target_share double, max_repeats int")
+    got = {x["source"]: x["actual_share"] for x in mixture(docs, goals, shard_tokens=2000)[1].collect()}
+    assert got["tiny"] == pytest.approx(0.0005, rel=0.25) and got["big"] > 0.999
+
+
 def test_mixture(spark):
     r = random.Random(1)
     word = lambda: r.choice(["alpha", "beta", "gamma", "delta"])
@@ -22,13 +50,13 @@ def test_mixture(spark):
     rows += [(5000, rows[0][1], "big", "x"), (5001, None, "big", "x"), (5002, "", "big", "x"), (5003, "abc", None, "x"), (5004, "abc", "other", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
     goals = spark.createDataFrame([("big", 0.4, 1), ("SMALL ", 0.5, 3), ("none", 0.1, 2)], "source string, target_share double, max_repeats int")
-    texts, shares = mixture(docs, goals, blocks=500)
+    texts, shares = mixture(docs, goals, shard_tokens=4000)
     used = {x["doc_id"]: x for x in texts.collect()}
     assert not {5000, 5001, 5002, 5003, 5004} & set(used)
     assert max(x["copies"] for x in used.values() if x["source"] == "big") == 1 and max(x["copies"] for x in used.values()) <= 3
     got = {x["source"]: x["actual_share"] for x in shares.collect()}
     assert got["big"] == pytest.approx(4 / 9, abs=0.01) and got["small"] == pytest.approx(5 / 9, abs=0.01) and got["none"] == 0
-    again = {x["doc_id"] for x in mixture(docs, goals, blocks=500)[0].collect()}
+    again = {x["doc_id"] for x in mixture(docs, goals, shard_tokens=4000)[0].collect()}
     assert again == set(used)
     assert mixture(docs.where("false"), goals)[0].count() == 0 and mixture(docs, goals.where("false"))[1].count() == 0
 
@@ -67,6 +95,14 @@ def test_leaks_equal_brute_force(spark):
     assert leaked_items(df.where("false"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_items(spark):
+    """An item of a few words leaks where the whole of it stands."""
+    docs = spark.createDataFrame([(1, "x the quick brown fox y"), (2, "the quick red brown fox"), (3, "quick"), (4, "The QUICK, brown fox!")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick"), (3, "!!"), (4, "the quick brown dog jumps over")], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["longest_run"]) for x in leaked_items(docs, items).collect()}
+    assert got == {(1, 1, 4), (4, 1, 4), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1), (1, 4, 3), (4, 4, 3)}
+
+
 TEXT = """Subject: cache
 
 Signed-off-by: Lucia Marrwicksen <lucia.marrwicksen@mail.example.org>
@@ -118,6 +154,28 @@ def test_viterbi_is_the_best_legal_labelling():
 def test_training_learns():
     texts = [f"Call {n:03d}-555-0{n:03d} now, {TEXT}" for n in range(100, 160)]
     lost = []
-    pii_train.train(texts, seconds=6, hidden=8, batch=16, workers=0, say=lost.append)
+    pii_train.train(texts, seconds=25, hidden=8, batch=8, workers=0, say=lost.append, every=20)
     marks = pii_train.label(TEXT)
-    assert {k for _, _, k in marks} == set(pii_rules.KINDS) and all(re.match(r"step \d+ loss", x) for x in lost)
+    assert {k for _, _, k in marks} == set(pii_rules.KINDS)
+    loss = [float(re.fullmatch(r"step \d+ loss (\S+) .*", x)[1]) for x in lost]
+    assert len(loss) >= 3 and loss[-1] < 0.5 * loss[0]
+
+
+def test_tagger_on_the_held_out_part():
+    """Names, towns and sentences that training has not seen."""
+    got = pii_train.held_out(400)
+    for kind, (recall, precision, n) in got.items():
+        assert n > 20 and recall >= 0.8 and precision >= 0.8, (kind, recall, precision)
+
+
+def test_forms_of_other_places():
+    found = lambda t: {(k, t[a:b]) for a, b, k in pii.tag([t])[0]}
+    assert ("name", "John Smith") in found("Please ask John Smith about the cache.")
+    assert ("address", "221B Baker Street, London") in found("He moved to 221B Baker Street, London last week.")
+    assert ("phone", "555-867-5309") in found("Call 555-867-5309 when the build fails.")
+
+
+def test_edges_are_trimmed_but_no_form_is_refused():
+    assert pii_rules.snap("email", "to a.b@c.example, now", 3, 17) == (3, 16)
+    assert pii_rules.snap("phone", "call 12-34 x", 5, 10) == (5, 10)
+    assert pii_rules.snap("email", "git@host.example", 0, 16) is None and pii_rules.snap("name", " , ", 0, 3) is None
