@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,7 +58,14 @@ def literal_words(spark: SparkSession, words: list[str]) -> DataFrame:
 
 
 def text_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(word, doc, pos) of the runs of a-z of each text, in lower case; pos is (id, place), a total order."""
+    """(word, doc, pos) of the runs of a-z of each text, in lower case; pos is a total order by id and place.
+
+    For whole-number ids pos is one decimal number, of which the least can be kept by hash aggregation; for others it is (id, place).
+    """
     texts = spread(docs.select(id_col, text_col))
     words = texts.select(F.col(id_col).alias("doc"), F.posexplode(words_of(F.col(text_col))).alias("at", "word"))
-    return words.select("word", "doc", F.struct(F.col("doc").alias("d"), F.col("at").alias("i")).alias("pos"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        pos = F.col("doc").cast("decimal(20,0)") * F.lit(Decimal(10**10)) + F.col("at")
+    else:
+        pos = F.struct(F.col("doc").alias("d"), F.col("at").alias("i"))
+    return words.select("word", "doc", pos.alias("pos"))
