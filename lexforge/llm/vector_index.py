@@ -169,7 +169,7 @@ class Index:
                 for lo in range(0, len(pdf), 256):
                     part = pdf.iloc[lo : lo + 256].copy()
                     q = matrix(part["v"])
-                    ids, sims = graph.value.nearest(q, beam=max(32, 2 * lists))
+                    ids, sims = graph.value.nearest(q, beam=max(12, 2 * lists))
                     dist = np.sqrt(np.maximum(2 - 2 * sims, 0))
                     near = np.maximum(dist[:, :1], 0.2)
                     cent = graph.value.centroids
@@ -231,7 +231,12 @@ class Index:
         for home, (c, size) in far.items():
             unit = abs(np.linalg.norm(graph.value.centroids[home]) - 1) < 1e-6
             radius[home], rows[home] = np.arccos(np.clip(c, -1, 1)) if unit else np.pi, size
-        group = ((np.cumsum(rows) - rows) // WIDE_BLOCK).astype("i4")
+        # lists in order, as many to a group as fit into a block; one larger than a block is cut by ``meet``
+        group, held = np.zeros(n, "i4"), 0.0
+        for j in range(1, n):
+            held += rows[j - 1]
+            full = held + rows[j] > WIDE_BLOCK
+            group[j], held = group[j - 1] + full, 0.0 if full else held
 
         cos_r, sin_r = np.cos(np.clip(radius, 0, np.pi)), np.sin(np.clip(radius, 0, np.pi))
 
