@@ -351,15 +351,15 @@ def similar_vectors(df: DataFrame, k: int = 5, min_cos: float = -1.0, id_col: st
     rank by id. A vector without neighbours has no row; an empty table gives none.
     """
     index = Index(clean_vectors(df, id_col, vec_col, version_col, dim))
-    near = nearest_classes(index, k, min_cos)
-    first = first_members(index, k + 1)
+    # each is read several times below
+    near, first = keep(nearest_classes(index, k, min_cos)), keep(first_members(index, k + 1))
     wide = near.select("id", F.explode("near").alias("n")).select("id", "n.cos", F.col("n.id").alias("other"))
     wide = wide.join(first.withColumnRenamed("id", "other"), "other", "left").select("id", "cos", F.explode(F.coalesce("first", F.array("other"))).alias("other"))
     own = first.select("id", F.lit(1.0).alias("cos"), F.explode("first").alias("other"))
     cand = wide.unionByName(own).groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("cos")).alias("m"), "other"))).alias("cand"))
     classes = index.classes_raw.select("id", "v", "copies")
-    cand = cand.join(classes, "id").select(F.col("id").alias("rep"), "cand", "copies")
+    cand = keep(cand.join(classes, "id").select(F.col("id").alias("rep"), "cand", "copies"))
     total = index.classes_raw.agg(F.sum("copies").alias("total_rows"))
-    member = join_hot(index.members, classes.select(F.col("id").alias("rep"), "v", "copies"), "v", "copies", total).select("id", "rep")
+    member = keep(join_hot(index.members, classes.select(F.col("id").alias("rep"), "v", "copies"), "v", "copies", total).select("id", "rep"))
     out = join_hot(member, cand, "rep", "copies", total).select("id", F.posexplode(F.slice(F.filter("cand", lambda x: x["other"] != F.col("id")), 1, k)).alias("rank", "n"))
     return out.select("id", F.col("n.other").alias("other"), (-F.col("n.m")).alias("cos"), (F.col("rank") + 1).alias("rank"))
