@@ -2,7 +2,7 @@
 
 They serve twice: as the labelling functions that mark spans in the training texts of the tagger
 (:mod:`lexforge.llm.pii_train`), and to trim the edges of a span the tagger has found where a value of the known
-forms begins or ends a few characters off. They neither find values in the query nor reject any.
+forms begins or ends a few characters off. They neither find values in the query nor reject any for its form.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ TRIM = 3
 def snap(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
     """Edges of the value that a found span points at: those of a known form where both differ by at most TRIM, else the span without outer blanks and marks.
 
-    None only if nothing is left or the mailbox is a version control service, which by definition is no person's.
+    None only if what is left lacks what defines its kind: a name has two parts, a mailbox an at and no version control service, the others have digits.
     """
     a, b = start, end
     while a < b and text[a] in " \t\r\n,;:<>\"'`|*":
@@ -71,6 +71,12 @@ def snap(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
         off = max(abs(x - start), abs(y - end))
         if off < best:
             best, a, b = off, x, y
-    if a >= b or (kind == "email" and REMOTE.match(text[a:b])):
-        return None
-    return a, b
+    return (a, b) if a < b and _may_be(kind, text[a:b]) else None
+
+
+def _may_be(kind: str, value: str) -> bool:
+    if kind == "name":
+        return bool(re.search(r"\w\W+\w", value))
+    if kind == "email":
+        return bool(re.search(r"@|\bat\b", value, re.I)) and not REMOTE.match(value)
+    return kind == "address" or any(c.isdigit() for c in value)

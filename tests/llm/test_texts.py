@@ -179,3 +179,5 @@ def test_edges_are_trimmed_but_no_form_is_refused():
     assert pii_rules.snap("email", "to a.b@c.example, now", 3, 17) == (3, 16)
     assert pii_rules.snap("phone", "call 12-34 x", 5, 10) == (5, 10)
     assert pii_rules.snap("email", "git@host.example", 0, 16) is None and pii_rules.snap("name", " , ", 0, 3) is None
+    # by definition a name has two parts and a phone digits
+    assert pii_rules.snap("name", "Filler words", 0, 6) is None and pii_rules.snap("phone", "a ( b", 2, 3) is None
