@@ -161,6 +161,24 @@ def test_kept_tables_are_released(spark):
     assert kept.count() == 3 and storage.release(spark) > 0 and storage.release(spark) == 0
 
 
+def test_rows_are_dealt_out_only_where_splits_are_few(spark, tmp_path):
+    from lexforge.storage import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one, many = spark.read.parquet(str(tmp_path / "one")), spark.range(0, 100, 1, 16)
+    assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread(many) is many and spread(one).count() == 100
+
+
+def test_positions_of_any_id(spark):
+    texts = [("b", "beta alpha"), ("a", "alpha alpha")]
+    by_name = corpus.text_tokens(spark.createDataFrame(texts, "doc_id string, text string"))
+    by_number = corpus.text_tokens(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts, 2**60)], "doc_id long, text string"))
+    assert [r["word"] for r in by_name.orderBy("pos").collect()] == ["alpha", "alpha", "beta", "alpha"]
+    assert [r["word"] for r in by_number.orderBy("pos").collect()] == ["beta", "alpha", "alpha", "alpha"]
+    assert counting.token_total(by_name).first()["total"] == 4
+
+
 def test_fold_in(spark):
     q = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "term string, weight double")
     u = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 3.0), ("b", 1, 1.0)], "word string, k int, x double")
